@@ -28,7 +28,7 @@ from . import common as C
 from .tokens import END_ID, encoder, vocabulary_path
 
 CAPACITY = 4096
-ROUNDS = 120
+ROUNDS = 60
 EPSILON = 0.35
 
 
@@ -107,7 +107,7 @@ def solve_configuration_lp(count: np.ndarray, capacity: int, rounds: int = ROUND
     return [(dict(p), x / most) for p, x in found.items()]
 
 
-def plan(count: np.ndarray, capacity: int = CAPACITY, passes: int = 12) -> list[tuple[dict[int, int], int]]:
+def plan(count: np.ndarray, capacity: int = CAPACITY, passes: int = 5) -> list[tuple[dict[int, int], int]]:
     """Whole patterns (lengths with multiplicity, copies) that use every piece
     of the histogram exactly once."""
     left = count.astype(np.int64).copy()
@@ -154,12 +154,13 @@ def best_fit(count: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int
                 if not bins[room]:
                     rooms[room] = False
             else:
-                room, pattern, copies = capacity, {}, n
+                each = min(capacity // l, n)
+                room, pattern, copies = capacity, {}, n // each
             each = min(room // l, max(1, n // copies))
             take = min(copies, n // each)
-            if take < copies and pattern:
+            if take < copies:
                 put(room, pattern, copies - take)
-            put(room - each * l, pattern | {l: each}, take)
+            put(room - each * l, pattern | {l: pattern.get(l, 0) + each}, take)
             n -= each * take
     return [(p, c) for many in bins.values() for p, c in many if c]
 
