@@ -30,7 +30,7 @@ from . import common as C
 END_ID = 1
 SEQUENCE = 2048
 ROWS_A_BATCH = 64
-CACHED_WORDS = 250_000
+CACHED_WORDS = 900_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -45,7 +45,8 @@ class WordEncoder:
 
     Exact for vocabularies whose pre-tokenizer drops white space and never
     matches across it, so the ids of a text are those of its words in turn.
-    The memory holds CACHED_WORDS words at most and then starts anew.
+    The memory holds CACHED_WORDS words at most (some 200 bytes each) and then
+    starts anew.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -77,18 +78,32 @@ class WordEncoder:
                 self.used += len(ids)
                 self.place[word] = k
 
+    def _codes(self, words: pa.Array) -> np.ndarray:
+        """Places of each word's head and tail, (n, 2).  Words differ much in case
+        and in the stops that close them: ASCII letters are lowered (but not beside
+        `<`, which may open a special token) and closing stops after a letter are
+        looked up apart, as the pre-tokenizer parts them from the letters too."""
+        words = words.cast(pa.large_string())
+        low = pc.if_else(pc.match_substring(words, "<"), words, pc.ascii_lower(words))
+        head = pc.utf8_rtrim(low, ".,")
+        head = pc.if_else(pc.match_substring_regex(head, "[a-z]$"), head, low)
+        tail = pc.binary_slice(low.cast(pa.large_binary()), 0, 0) if not len(low) else pa.array([w[len(h) :] for w, h in zip(low.to_pylist(), head.to_pylist(), strict=True)], pa.large_string())
+        both = pa.concat_arrays([head, tail.cast(pa.large_string())]).dictionary_encode()
+        known = both.dictionary.to_pylist()
+        if len(self.place) + len(known) > CACHED_WORDS and self.place:
+            self._forget()
+        self._learn([w for w in known if w not in self.place])
+        code = np.fromiter((self.place[w] for w in known), np.int64, len(known))
+        return code[np.asarray(both.indices, np.int64)].reshape(2, -1).T if len(both) else np.zeros((0, 2), np.int64)
+
     def encode(self, raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk, each text's closed by the end id, and the n+1
         offsets of the texts in them."""
         split = pc.ascii_split_whitespace(raw.cast(pa.large_string()))
         rows = np.asarray(split.offsets, np.int64)
         words = split.values.slice(rows[0], rows[-1] - rows[0]).dictionary_encode()
-        rows = rows - rows[0]
-        known = words.dictionary.to_pylist()
-        if len(self.place) + len(known) > CACHED_WORDS and self.place:
-            self._forget()
-        self._learn([w for w in known if w not in self.place])
-        code = np.fromiter((self.place[w] for w in known), np.int64, len(known))[np.asarray(words.indices, np.int64)] if len(words) else np.zeros(0, np.int64)
+        rows = 2 * (rows - rows[0])
+        code = self._codes(words.dictionary)[np.asarray(words.indices, np.int64)].reshape(-1)
         width = self.width[code]
         total = np.concatenate([[0], np.cumsum(width)])
         ends = total[rows[1:]] + np.arange(1, len(rows))
