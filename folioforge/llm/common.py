@@ -9,12 +9,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 
@@ -118,15 +119,19 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: Bytes that end a word where punctuation does too: all of ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a chunk of texts, as positions and 64-bit
-    hashes.  Words never cross rows."""
+    """Words of a chunk of texts, as positions and 64-bit hashes: maximal runs of
+    bytes outside `gaps`, by default `[^\\x20\\x09-\\x0D]+`.  Words never cross rows."""
 
-    def __init__(self, raw: pa.Array, lower: bool = False):
+    def __init__(self, raw: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE):
         self.data, self.rows = flat(raw)
         data, rows = self.data, self.rows
         n = len(data)
-        word = ~_SPACE[data]
+        word = ~gaps[data]
         first = word.copy()
         first[1:] &= ~word[:-1]
         last = word.copy()
@@ -167,8 +172,6 @@ def sequence_hash(values: np.ndarray, k: int) -> np.ndarray:
 
 def fold(doc_id, modulus: int):
     """Spark column: crc32 of the id as text, modulo."""
-    from pyspark.sql import functions as F
-
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
@@ -176,5 +179,50 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int) -> DataFrame:
+    """At most `most` labelled rows (doc_id, text, y) outside the held-out fold,
+    half of each label, those of the smallest id hash.  Rows without an id, or with a label other
+    than 0 or 1, are left out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held))
+    one, zero = (known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for y in (1, 0))
+    wanted = one.unionByName(zero)
+    # most rows of two numbers: a size that the parameter bounds
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")
+
+
+def class_weights(labels: DataFrame, label: str, modulus: int, held: int, y: np.ndarray) -> np.ndarray:
+    """Weights that give the labels of a balanced sample their shares among all
+    labelled rows outside the held-out fold."""
+    got = labels.filter(F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held)).groupBy(F.col(label).cast("int").alias("y")).count().filter(F.col("y").isin(0, 1)).collect()
+    there = {r["y"]: r["count"] for r in got}
+    per = np.array([there.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)])
+    return (per / max(per.max(), 1e-12))[y]
+
+
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a weighted logistic fit of y on the margins, with
+    the smoothed targets of Platt (1999), by damped Newton steps."""
+    pos, neg = float(weight[y == 1].sum()), float(weight[y == 0].sum())
+    target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    a, b = 1.0, float(np.log((pos + 1) / (neg + 1)))
+
+    def loss(a: float, b: float) -> float:
+        z = a * margin + b
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum())
+
+    for _ in range(50):
+        p = logistic(a * margin + b)
+        d, w = weight * (p - target), weight * p * (1 - p) + 1e-9
+        g = np.array([(d * margin).sum(), d.sum()])
+        h = np.array([[(w * margin * margin).sum() + 1e-6, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1e-6]])
+        step, t = np.linalg.solve(h, g), 1.0
+        while t > 1e-6 and loss(a - t * step[0], b - t * step[1]) > loss(a, b):
+            t /= 2
+        a, b = a - t * step[0], b - t * step[1]
+        if np.abs(g).max() < 1e-6 or t <= 1e-6:
+            break
+    return float(a), float(b)

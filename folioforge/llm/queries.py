@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .packing import op7_packing
+from .quality import op2_quality
 from .tokens import op4_token_files
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op4_token_files": op4_token_files,
     "op7_packing": op7_packing,
 }
