@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .langid import op9_langid
 from .packing import op7_packing
 from .quality import op2_quality
 from .tokens import op4_token_files
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_token_files": op4_token_files,
     "op7_packing": op7_packing,
+    "op9_langid": op9_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}
