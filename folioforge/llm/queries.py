@@ -7,12 +7,14 @@ from .packing import op7_packing
 from .quality import op2_quality
 from .tokens import op4_token_files
 from .toxicity import op1_toxicity
+from .vectors import op8_vectors
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op4_token_files": op4_token_files,
     "op7_packing": op7_packing,
+    "op8_vectors": op8_vectors,
     "op9_langid": op9_langid,
 }
 
