@@ -5,6 +5,7 @@ from __future__ import annotations
 from .langid import op9_langid
 from .packing import op7_packing
 from .quality import op2_quality
+from .substrings import op6_substrings
 from .tokens import op4_token_files
 from .toxicity import op1_toxicity
 from .vectors import op8_vectors
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op4_token_files": op4_token_files,
+    "op6_substrings": op6_substrings,
     "op7_packing": op7_packing,
     "op8_vectors": op8_vectors,
     "op9_langid": op9_langid,
