@@ -128,6 +128,7 @@ class Words:
     bytes outside `gaps`, by default `[^\\x20\\x09-\\x0D]+`.  Words never cross rows."""
 
     def __init__(self, raw: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE):
+        self.raw = raw
         self.data, self.rows = flat(raw)
         data, rows = self.data, self.rows
         n = len(data)
@@ -146,8 +147,13 @@ class Words:
         code = (_LOWER if lower else _CODES)[data] * powers(_BASE, n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(code, out=total[1:])
-        value = (total[self.ends] - total[self.starts]) * powers(_INVERSE, n + 1)[self.starts]
-        self.hash = _mix(value + (self.ends - self.starts).astype(np.uint64))
+        self.total = total
+        self.hash = self.spans(self.starts, self.ends)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from start to end, the same wherever they stand."""
+        value = (self.total[end] - self.total[start]) * powers(_INVERSE, len(self.total))[start]
+        return _mix(value + (end - start).astype(np.uint64))
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +29,7 @@ from . import common as C
 END_ID = 1
 SEQUENCE = 2048
 ROWS_A_BATCH = 64
-CACHED_WORDS = 900_000
+CACHED_WORDS = 2_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -43,10 +42,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class WordEncoder:
     """Encodes texts word by word with a memory of words already seen.
 
-    Exact for vocabularies whose pre-tokenizer drops white space and never
-    matches across it, so the ids of a text are those of its words in turn.
-    The memory holds CACHED_WORDS words at most (some 200 bytes each) and then
-    starts anew.
+    Exact for vocabularies whose pre-tokenizer drops white space, never matches
+    across it and parts letters from stops, and whose normalizer lowers case: the
+    ids of a text are those of its words in turn, and a word that ends in stops
+    after an ASCII letter is its head and its stops.  Words are known by 64-bit
+    hashes that leave out ASCII case, but for words with `<`, which may hold a
+    special token.  The memory holds CACHED_WORDS words at most (some 30 bytes
+    each) and then starts anew.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -59,57 +61,67 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known = np.zeros(0, np.uint64)  # sorted
+        self.begin = np.zeros(0, np.int64)
+        self.width = np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.width = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, value: np.ndarray, words: list[str]) -> None:
+        """value: their hashes, sorted and new."""
+        begin, width = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         for at in range(0, len(words), 20_000):
-            for word, got in zip(words[at : at + 20_000], self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False), strict=True):
-                ids, k = got.ids, len(self.place)
-                if k >= len(self.begin):
-                    self.begin, self.width = np.resize(self.begin, 2 * k), np.resize(self.width, 2 * k)
+            for k, got in enumerate(self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False), at):
+                ids = got.ids
                 while self.used + len(ids) > len(self.ids):
                     self.ids = np.resize(self.ids, 2 * len(self.ids))
                 self.ids[self.used : self.used + len(ids)] = ids
-                self.begin[k], self.width[k] = self.used, len(ids)
+                begin[k], width[k] = self.used, len(ids)
                 self.used += len(ids)
-                self.place[word] = k
-
-    def _codes(self, words: pa.Array) -> np.ndarray:
-        """Places of each word's head and tail, (n, 2).  Words differ much in case
-        and in the stops that close them: ASCII letters are lowered (but not beside
-        `<`, which may open a special token) and closing stops after a letter are
-        looked up apart, as the pre-tokenizer parts them from the letters too."""
-        words = words.cast(pa.large_string())
-        low = pc.if_else(pc.match_substring(words, "<"), words, pc.ascii_lower(words))
-        head = pc.utf8_rtrim(low, ".,")
-        head = pc.if_else(pc.match_substring_regex(head, "[a-z]$"), head, low)
-        tail = pc.binary_slice(low.cast(pa.large_binary()), 0, 0) if not len(low) else pa.array([w[len(h) :] for w, h in zip(low.to_pylist(), head.to_pylist(), strict=True)], pa.large_string())
-        both = pa.concat_arrays([head, tail.cast(pa.large_string())]).dictionary_encode()
-        known = both.dictionary.to_pylist()
-        if len(self.place) + len(known) > CACHED_WORDS and self.place:
-            self._forget()
-        self._learn([w for w in known if w not in self.place])
-        code = np.fromiter((self.place[w] for w in known), np.int64, len(known))
-        return code[np.asarray(both.indices, np.int64)].reshape(2, -1).T if len(both) else np.zeros((0, 2), np.int64)
+        where = np.searchsorted(self.known, value)
+        self.known, self.begin, self.width = (np.insert(old, where, new) for old, new in ((self.known, value), (self.begin, begin), (self.width, width)))
+
+    def _parts(self, w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, hash) of heads and tails of all words, in turn."""
+        head = w.ends.copy()
+        stop = (w.data == 46) | (w.data == 44)
+        while (more := (head - 1 > w.starts) & stop[head - 1]).any():
+            head[more] -= 1
+        letter = ((w.data | 32) >= 97) & ((w.data | 32) <= 122)
+        opens = np.concatenate([[0], np.cumsum(w.data == 60)])
+        special = opens[w.ends] > opens[w.starts]
+        whole = special | ~letter[head - 1]
+        head[whole] = w.ends[whole]
+        start, end = np.stack([w.starts, head], axis=1).reshape(-1), np.stack([head, w.ends], axis=1).reshape(-1)
+        value = w.spans(start, end)
+        if special.any():
+            exact = np.flatnonzero(special)
+            value[2 * exact] = C.mix(C.Words(w.raw).hash[exact] ^ np.uint64(0x5851F42D4C957F2D))
+        return start, end, value
 
     def encode(self, raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk, each text's closed by the end id, and the n+1
         offsets of the texts in them."""
-        split = pc.ascii_split_whitespace(raw.cast(pa.large_string()))
-        rows = np.asarray(split.offsets, np.int64)
-        words = split.values.slice(rows[0], rows[-1] - rows[0]).dictionary_encode()
-        rows = 2 * (rows - rows[0])
-        code = self._codes(words.dictionary)[np.asarray(words.indices, np.int64)].reshape(-1)
-        width = self.width[code]
+        w = C.Words(raw, lower=True)
+        rows = 2 * w.first
+        start, end, value = self._parts(w)
+        full = np.flatnonzero(end > start)
+        some, first, code = np.unique(value[full], return_index=True, return_inverse=True)
+        if len(self.known) + len(some) > CACHED_WORDS and len(self.known):
+            self._forget()
+        at = np.minimum(np.searchsorted(self.known, some), max(0, len(self.known) - 1))
+        new = self.known[at] != some if len(self.known) else np.ones(len(some), bool)
+        if new.any():
+            data, show = w.data.tobytes(), full[first[new]]
+            self._learn(some[new], [data[a:b].decode() for a, b in zip(start[show].tolist(), end[show].tolist(), strict=True)])
+        at = np.searchsorted(self.known, some)
+        width, begin = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        width[full], begin[full] = self.width[at][code], self.begin[at][code]
         total = np.concatenate([[0], np.cumsum(width)])
         ends = total[rows[1:]] + np.arange(1, len(rows))
         out = np.empty(ends[-1] if len(ends) else 0, np.uint32)
         where = np.arange(total[-1]) + np.repeat(np.repeat(np.arange(len(rows) - 1), np.diff(rows)), width)
-        out[where] = self.ids[np.arange(total[-1]) + np.repeat(self.begin[code] - total[:-1], width)]
+        out[where] = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], width)]
         out[ends - 1] = self.end_id
         return out, np.concatenate([[0], ends])
 
