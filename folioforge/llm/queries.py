@@ -6,6 +6,7 @@ from .langid import op9_langid
 from .packing import op7_packing
 from .quality import op2_quality
 from .substrings import op6_substrings
+from .suffixes import op3_suffixes
 from .tokens import op4_token_files
 from .toxicity import op1_toxicity
 from .vectors import op8_vectors
@@ -13,6 +14,7 @@ from .vectors import op8_vectors
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op3_suffixes": op3_suffixes,
     "op4_token_files": op4_token_files,
     "op6_substrings": op6_substrings,
     "op7_packing": op7_packing,
