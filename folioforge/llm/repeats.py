@@ -157,7 +157,7 @@ def sketch(docs: DataFrame, chunk_units: Callable, limit: int, bits: int = SKETC
             unit = chunk_units(raw)
             held.append((unit.anchor, unit.whole))
             size += len(unit.anchor)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from out()
                 size = 0
         if size:
