@@ -29,7 +29,7 @@ from . import common as C
 END_ID = 1
 SEQUENCE = 2048
 ROWS_A_BATCH = 64
-CACHED_WORDS = 2_000_000
+CACHED_WORDS = 1_200_000
 VOCABULARY = "word_bpe_49k.json"
 
 
