@@ -5,6 +5,7 @@ from __future__ import annotations
 from .langid import op9_langid
 from .packing import op7_packing
 from .quality import op2_quality
+from .shingles import op5_jaccard
 from .substrings import op6_substrings
 from .suffixes import op3_suffixes
 from .tokens import op4_token_files
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_suffixes": op3_suffixes,
     "op4_token_files": op4_token_files,
+    "op5_jaccard": op5_jaccard,
     "op6_substrings": op6_substrings,
     "op7_packing": op7_packing,
     "op8_vectors": op8_vectors,
