@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -254,10 +255,12 @@ class Scorer:
         return out, n
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, lang_pred, score) of every document, beside its other columns'
-    place: score is the posterior of the language under equal priors."""
+def annotate(docs: DataFrame, model: dict) -> DataFrame:
+    """docs with lang_pred and lang_score, the posterior of the language under
+    equal priors; docs must not have columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -271,9 +274,15 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 score = 1 / np.exp(like - like.max(axis=1, keepdims=True)).sum(axis=1)
                 score[n == 0] = 0
                 best = [m["langs"][i] if c else UNDETERMINED for i, c in zip(k, n, strict=True)]
-            yield pa.record_batch({"doc_id": rows.column(0), "lang_pred": pa.array(best, pa.string()), "score": score})
+            yield pa.record_batch([*rows.columns, pa.array(best, pa.string()), pa.array(score)], names=names)
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, lang_pred, score) of every document."""
+    out = annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return out.select("doc_id", "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

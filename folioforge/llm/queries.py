@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
 from .langid import op9_langid
 from .packing import op7_packing
 from .quality import op2_quality
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_vectors": op8_vectors,
     "op9_langid": op9_langid,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}

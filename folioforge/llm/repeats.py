@@ -191,10 +191,10 @@ def sketch(docs: DataFrame, chunk_units: Callable, limit: int, bits: int = SKETC
     return got
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """documents' (doc_id, text) beside k, which tells rows apart unless they are
-    equal; equal rows have equal repeats."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """documents' (doc_id, text) and further columns beside k, which tells rows
+    apart unless id and text are equal; those have equal repeats."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry).withColumn("k", F.xxhash64("doc_id", "text"))
 
 
 def occurrences(k: np.ndarray, at: np.ndarray, group: np.ndarray, groups: int) -> list[bytes]:

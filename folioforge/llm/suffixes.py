@@ -232,7 +232,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
     return apply_spans(R.keyed(docs), repeated_bytes(docs, width, **options)).drop("k")
 
 
-def apply_spans(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+def apply_spans(keyed: DataFrame, rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Texts without the spans that rows(k, a, b) give; `carry` names further
+    columns of keyed that stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw in C.chunks(batches):
             data, offsets = C.flat(raw)
@@ -244,10 +246,11 @@ def apply_spans(keyed: DataFrame, rows: DataFrame) -> DataFrame:
                 opens = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 for column, value in zip(out, (len(text), int(gone.sum()), opens, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")), strict=True):
                     column.append(value)
-            yield pa.record_batch({"k": rows.column("k"), "doc_id": rows.column("doc_id"), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": out[3], "kept": pa.array(out[4], pa.string())})
+            yield pa.record_batch({"k": rows.column("k"), "doc_id": rows.column("doc_id"), **{c: rows.column(c) for c in carry}, "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": out[3], "kept": pa.array(out[4], pa.string())})
 
-    joined = keyed.join(R.covered(rows), "k", "left").select("k", "doc_id", "text", "spans")
-    return joined.mapInArrow(run, "k long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    joined = keyed.join(R.covered(rows), "k", "left").select("k", "doc_id", *carry, "text", "spans")
+    carried = "".join(f"{c} {keyed.schema[c].dataType.simpleString()}, " for c in carry)
+    return joined.mapInArrow(run, f"k long, doc_id long, {carried}n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
