@@ -1,9 +1,12 @@
 """Operator 5: n-gram Jaccard join by grouped prefixes.
 
 A text's set is its distinct k-word shingles (hashes of words in ASCII lower case).
-Sets are ordered by one global order: shingles in at least 1/COMMON of all texts
-come last, by frequency, the rest by hash.  Sets of size n that reach similarity t
-share one of the first n - ceil(t n) + 1 shingles.
+Sets are ordered by one global order: rare shingles by hash, then those in FEW texts
+or more by hash, then those in 1/COMMON of all texts or more by frequency.  (The
+second kind is counted exactly over all texts, but only in the low part of the
+hashes, where prefixes lie, and kept as a Bloom filter of fixed size: a false hit
+only moves a shingle in the order.)  Sets of size n that reach similarity t share one
+of the first n - ceil(t n) + 1 shingles.
 
 1. Equal sets collapse to a class, classes of equal prefix and size to a group.
 2. Groups meet in the runs of their prefix shingles, sorted by size.  A run pairs
@@ -40,10 +43,12 @@ from . import repeats as R
 from .components import components
 
 COMMON = 1_000
+FEW = 8
 NEAR = 8
 BLOOM_BITS = 26
 LIMIT = 2 << 20
 _TOP = 1 << 62
+_SOME = 1 << 61
 
 
 @dataclass
@@ -66,7 +71,7 @@ class Rule:
 
 
 def shingle_sets(raw: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle) of all distinct shingles, shingles below 2**62."""
+    """(row, shingle) of all distinct shingles, shingles below 2**61."""
     w = C.Words(raw, lower=True)
     row = w.row_of()
     parts_row, parts = [], []
@@ -86,7 +91,7 @@ def shingle_sets(raw: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         parts_row.append(short)
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, row = (np.concatenate(parts) >> np.uint64(2)).astype(np.int64), np.concatenate(parts_row)
+    h, row = (np.concatenate(parts) >> np.uint64(3)).astype(np.int64), np.concatenate(parts_row)
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
@@ -94,58 +99,92 @@ def shingle_sets(raw: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[new], h[new]
 
 
-def common_shingles(docs: DataFrame, k: int, one_in: int = COMMON) -> np.ndarray:
+def frequencies(docs: DataFrame, rule: Rule, one_in: int = COMMON, few: int = FEW, bits: int = BLOOM_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Shingles in at least 1/one_in of the texts (as counted where a partition has
-    enough of them), rarest first: at most one_in times the mean size of a set."""
+    enough of them), rarest first: at most one_in times the mean size of a set; and
+    the Bloom filter of those in `few` texts or more in the low part of the hashes,
+    half as wide again as prefixes are."""
+    spark = docs.sparkSession
+    blocks = 4 * C.partitions(spark)
+    low = min(_SOME, int(_SOME * 1.5 * (rule.den - rule.num) / rule.den))
+    step = low // blocks + 1
+    pair = np.dtype([("h", "<i8"), ("n", "<i4")])
+
+    def packed(h: np.ndarray, n: np.ndarray) -> bytes:
+        out = np.empty(len(h), pair)
+        out["h"], out["n"] = h, n
+        return out.tobytes()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, texts, size = [], 0, 0
 
         def out() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(seen), return_counts=True)
-            keep = n >= max(8, texts // one_in)
-            return pa.record_batch({"h": pa.array(h[keep]), "n": pa.array(n[keep], pa.int64()), "texts": pa.array(np.zeros(int(keep.sum()), np.int64))})
+            often = n >= max(8, texts // one_in)
+            part = np.searchsorted(h, np.minimum(np.arange(blocks + 1) * step, low))
+            data = [packed(h[x:y], n[x:y]) for x, y in zip(part[:-1], part[1:], strict=True)]
+            return pa.record_batch({"block": pa.array(np.arange(-1, blocks), pa.int32()), "data": pa.array([packed(h[often], n[often]), *data], pa.binary()), "texts": pa.array([texts, *[0] * blocks], pa.int64())})
 
-        for rows, raw in C.chunks(batches, limit=LIMIT):
-            h = shingle_sets(raw, k)[1]
+        for _, raw in C.chunks(batches, limit=LIMIT):
+            h = shingle_sets(raw, rule.k)[1]
             seen.append(h)
             texts, size = texts + len(raw), size + len(h)
-            yield pa.record_batch({"h": pa.array([-1], pa.int64()), "n": pa.array([0], pa.int64()), "texts": pa.array([len(raw)], pa.int64())})
             if size > 4_000_000:
                 yield out()
                 seen, texts, size = [], 0, 0
         if seen:
             yield out()
 
-    total = docs.select("text").mapInArrow(count, "h long, n long, texts long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
-    total = C.stored(total, "common")
-    texts = total.filter("h = -1").agg(F.sum("texts")).first()[0] or 0
-    got = total.filter((F.col("h") >= 0) & (F.col("n") * one_in >= texts)).select("h", "n").toArrow()
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, texts = None, [], 0
+
+        def out() -> pa.RecordBatch:
+            got = np.frombuffer(b"".join(held), pair)
+            h, where = np.unique(got["h"], return_inverse=True)
+            n = np.bincount(where, got["n"], minlength=len(h)).astype(np.int64)
+            keep = n * one_in >= texts if at < 0 else n >= few
+            return pa.record_batch({"kind": pa.array(np.full(int(keep.sum()), int(at < 0)), pa.int32()), "h": h[keep], "n": n[keep]})
+
+        for batch in batches:
+            for block, data, t in zip(*(batch.column(c).to_pylist() for c in ("block", "data", "texts")), strict=True):
+                if block != at:
+                    if held:
+                        yield out()
+                    at, held, texts = block, [], 0
+                held.append(data)
+                texts += t
+        if held:
+            yield out()
+
+    parts = docs.select("text").mapInArrow(count, "block int, data binary, texts long").repartition(C.partitions(spark), "block").sortWithinPartitions("block")
+    found = C.stored(parts.mapInArrow(merge, "kind int, h long, n long"), "frequent")
+    got = found.filter("kind = 1").select("h", "n").toArrow()
     h, n = got["h"].to_numpy(), got["n"].to_numpy()
-    return h[np.lexsort((h, n))]
+    return h[np.lexsort((h, n))], bloom(found.filter("kind = 0").select("h"), bits)
 
 
-def in_order(row: np.ndarray, h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles as keys that sort by the global order: common ones are 2**62 + rank."""
-    value, rank = common
+def in_order(row: np.ndarray, h: np.ndarray, order: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles as keys that sort by the global order: those of the filter get
+    2**61 on top, common ones are 2**62 + rank."""
+    value, rank, table, bits = order
+    key = h + np.where(in_bloom(table, h.view(np.uint64), bits), _SOME, 0)
     if len(value):
         at = np.minimum(np.searchsorted(value, h), len(value) - 1)
         hit = value[at] == h
-        h = np.where(hit, _TOP + rank[at], h)
-        order = np.lexsort((h, row))
-        row, h = row[order], h[order]
-    return row, h
+        key = np.where(hit, _TOP + rank[at], key)
+    by = np.lexsort((key, row))
+    return row[by], key[by]
 
 
 def _lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values))
 
 
-def signed(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
+def signed(docs: DataFrame, rule: Rule, common: np.ndarray, some: np.ndarray, bits: int = BLOOM_BITS) -> DataFrame:
     """(doc_id, k, n, c, prefix) of every text: size, class and prefix of its set.
     c, 0 for the empty set, is a hash of the whole set."""
     order = np.argsort(common, kind="stable")
-    sent = docs.sparkSession.sparkContext.broadcast((common[order], order))
+    sent = docs.sparkSession.sparkContext.broadcast((common[order], order, some, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw in C.chunks(batches, limit=LIMIT):
@@ -211,6 +250,13 @@ def bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     return out
 
 
+def in_bloom(table: np.ndarray, k: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
+    out = np.ones(len(k), bool)
+    for cell in R._cells(k, bits):
+        out &= table[cell >> 5] >> (cell & 31).astype(np.uint32) & np.uint32(1) == 1
+    return out
+
+
 def whole_sets(docs: DataFrame, classes: DataFrame, rule: Rule, wanted: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
     """(c, n, members) of the wanted(c) classes, from the text of one document each."""
     keys = classes.join(wanted, "c", "left_semi").select("c", "k", "n")
@@ -220,9 +266,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, rule: Rule, wanted: DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.column("k").to_numpy().view(np.uint64)
-            keep = np.ones(len(k), bool)
-            for cell in R._cells(k, bits):
-                keep &= sent.value[cell >> 5] >> (cell & 31).astype(np.uint32) & np.uint32(1) == 1
+            keep = in_bloom(sent.value, k, bits)
             for rows, raw in C.chunks([batch.filter(pa.array(keep))], limit=LIMIT):
                 row, h = shingle_sets(raw, rule.k)
                 yield pa.record_batch({"k": rows.column("k"), "members": _lists(h, np.bincount(row, minlength=len(raw)))})
@@ -318,7 +362,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFram
     """(doc_id, k, n_shingles, component_id): component_id is the smallest doc_id
     reachable by links."""
     rule = Rule(k, num, den)
-    base = C.stored(signed(docs, rule, common_shingles(docs, k)), "signed")
+    base = C.stored(signed(docs, rule, *frequencies(docs, rule)), "signed")
     classes = base.filter("n > 0").groupBy("c").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = C.stored(classes.withColumn("g", F.xxhash64("prefix", "n")), "classes")
     heads = classes.groupBy("g").agg(F.min("c").alias("head"), (F.count("*") > 1).alias("many"))
