@@ -33,7 +33,8 @@ from . import repeats as R
 WIDTH, GRAM = 400, 64
 LIMIT = 2 << 20
 BATCH = 8_192
-HOT = 1_000
+#: Units of an anchor from which classes take the place of pairs.
+CROWD = 48
 _SECOND = 0xC2B2AE3D27D4EB4F | 1
 _FINGER = np.dtype([("x", "<u8"), ("y", "<u8")])
 
@@ -41,14 +42,14 @@ _FINGER = np.dtype([("x", "<u8"), ("y", "<u8")])
 class Unit:
     """A text around an anchor, with the strings that begin in it."""
 
-    __slots__ = ("count", "flag", "lead", "left", "n_left", "n_right", "occ", "right", "times")
+    __slots__ = ("count", "flag", "lead", "left", "n_left", "n_right", "occ", "right", "suffix", "times")
 
     def __init__(self, text: bytes, lead: int, width: int, occ: bytes):
         self.lead, self.count = lead, max(1, len(text) - width + 1)
         self.times, self.occ = len(occ) // 12, occ
         self.flag = np.zeros(self.count, bool)
         # lead bytes before the anchor, and up to width bytes from it, as numbers
-        right = text[lead : lead + width] if lead >= 0 else b""
+        self.suffix = right = text[lead : lead + width] if lead >= 0 else b""
         self.n_left, self.n_right = max(lead, 0), len(right)
         self.left = int.from_bytes(text[: self.n_left], "big")
         self.right = int.from_bytes(right.ljust(width, b"\0"), "big")
@@ -74,33 +75,72 @@ class IndexFamily:
         for u in (x, y):
             u.flag[max(0, u.lead - left) : max(0, u.lead + right - self.width + 1)] = True
 
-    def _within(self, array: list[tuple[bytes, Unit]]) -> None:
-        for _, run in groupby(array, lambda e: e[0][: self.gram]):
-            units = [u for _, u in run]
-            for d in range(1, len(units)):  # nearest suffixes share most: they come first
-                for a, b in zip(units, units[d:], strict=False):
-                    self.match(a, b)
-
-    def _between(self, array: list[tuple[bytes, Unit]], level: list[tuple[bytes, Unit]]) -> None:
-        mine, theirs = (iter(groupby(x, lambda e: e[0][: self.gram])) for x in (array, level))
-        a, b = next(mine, None), next(theirs, None)
-        while a and b:
-            if a[0] == b[0]:
-                old = [u for _, u in b[1]]
-                for _, x in a[1]:
-                    for y in old:
-                        self.match(x, y)
-                a, b = next(mine, None), next(theirs, None)
-            elif a[0] < b[0]:
-                a = next(mine, None)
-            else:
-                b = next(theirs, None)
+    def crowd(self, units: list[Unit]) -> None:
+        """match() for many units of one anchor, already in suffix order, without
+        pairs: at each distance of a string's start from the anchor, units fall into
+        classes of equal bytes to the right (runs of the suffix array) and to the
+        left (runs of the array of reversed left parts); strings are equal where
+        both are."""
+        m = len(units)
+
+        def common(x: list[int], n: list[int], width: int, low: bool) -> np.ndarray:
+            out = np.zeros(len(x), np.int64)
+            for i in range(1, len(x)):
+                d = x[i] ^ x[i - 1]
+                same = ((d & -d).bit_length() - 1) // 8 if low and d else width - (d.bit_length() + 7) // 8
+                out[i] = min(n[i], n[i - 1], same)
+            return out
+
+        right = common([u.right for u in units], [u.n_right for u in units], self.width, False)
+        most = max(u.n_left for u in units)
+        order = sorted(range(m), key=lambda i: units[i].left.to_bytes(units[i].n_left, "big")[::-1])
+        left = common([units[i].left for i in order], [units[i].n_left for i in order], most, True)
+        lead, count, times = (np.array([getattr(u, f) for u in units]) for f in ("lead", "count", "times"))
+        flags = np.zeros((m, int(count.max())), bool)
+        turn = np.array(order)
+        left_class = np.empty(m, np.int64)
+        for o in range(int(lead.max()) + 1):
+            at = np.flatnonzero((lead >= o) & (lead - o < count))
+            if len(at) < 2:
+                continue
+            right_class = np.cumsum(right < self.width - o)
+            left_class[turn] = np.cumsum(left < o)
+            _, where = np.unique(right_class[at] * (m + 1) + left_class[at], return_inverse=True)
+            again = np.bincount(where, times[at])[where] > 1
+            flags[at[again], lead[at[again]] - o] = True
+        for u, f in zip(units, flags, strict=True):
+            u.flag |= f[: u.count]
+
+    def scan(self, new: list[Unit], old: list[Unit]) -> None:
+        """Units of one anchor that came with a batch, against each other and those
+        of the levels."""
+        if len(new) + len(old) > CROWD:
+            self.crowd([u for _, u in sorted(((u.suffix, u) for u in new + old), key=lambda e: e[0])])
+            return
+        for d in range(1, len(new)):  # nearest suffixes share most: they come first
+            for a, b in zip(new, new[d:], strict=False):
+                self.match(a, b)
+        for x in new:
+            for y in old:
+                self.match(x, y)
+
+    def matches(self, array: list[tuple[bytes, Unit]]) -> None:
+        """Merging scan of the batch's array with the levels."""
+        levels = [iter(groupby(level, lambda e: e[0][: self.gram])) for level in self.levels if level]
+        heads = [(key, [u for _, u in run]) for key, run in (next(level) for level in levels)]
+        for key, run in groupby(array, lambda e: e[0][: self.gram]):
+            old: list[Unit] = []
+            for i, level in enumerate(levels):
+                while heads[i] and heads[i][0] < key:
+                    step = next(level, None)
+                    heads[i] = step and (step[0], [u for _, u in step[1]])
+                if heads[i] and heads[i][0] == key:
+                    old += heads[i][1]
+            self.scan([u for _, u in run], old)
 
     def add(self, batch: list[tuple[bytes, Unit]]) -> None:
         array = sorted(batch, key=lambda e: e[0])
-        self._within(array)
-        for level in self.levels:
-            self._between(array, level)
+        self.matches(array)
         at = 0
         while at < len(self.levels) and self.levels[at]:
             array = sorted(self.levels[at] + array, key=lambda e: e[0])  # two sorted runs: one merge
@@ -134,7 +174,7 @@ class Task:
         if unit is None:
             self.units[text] = unit = Unit(text, lead, self.width, occ)
             if lead >= 0:
-                self.fresh.append((text[lead : lead + self.width], unit))
+                self.fresh.append((unit.suffix, unit))
         else:
             unit.times += len(occ) // 12
             unit.occ += occ
@@ -175,7 +215,7 @@ def _chunk(raw: pa.Array, width: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return data, rows, rolling, R.units(rolling, rows, width, gram)
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int = R.SKETCH_BITS, hot: int = HOT) -> DataFrame:
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int = R.SKETCH_BITS, hot: int = R.HOT) -> DataFrame:
     """(k, a, b): spans of bytes of text k (see repeats.keyed) under strings of
     `width` bytes that begin anywhere else too."""
     spark = docs.sparkSession
