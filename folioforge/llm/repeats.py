@@ -29,7 +29,7 @@ SKETCH_BITS = 26
 BLOCK_BITS = 16
 #: Estimated number of different units of an anchor (counted by partition) from which
 #: each of its windows is a unit of its own.
-HOT = 2_000
+HOT = 50_000
 
 
 @dataclass
