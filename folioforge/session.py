@@ -26,3 +26,25 @@ def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TA
     """Lazy provisioning: a temporary view for each table; nothing is read."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application: Python functions
+    of the operators import it there."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="folioforge-")) / "folioforge.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)

@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioforge.functions import headers, text
 
@@ -19,9 +18,9 @@ OPT_IN = ("archive",)
 #: Collections that nothing may write to.
 READ_ONLY = ("archive", "rules", "books")
 
-CREATURE = T.StructType.fromDDL("name string, source string, cr double, type string, size array<string>, alignment string, environment array<string>, ruleset string")
-SPELL = T.StructType.fromDDL("name string, source string, level int, school string, class array<string>, concentration boolean, ritual boolean, ruleset string")
-ITEM = T.StructType.fromDDL("name string, source string, rarity string, kind string, attunement boolean, ruleset string")
+CREATURE = "name string, source string, cr double, type string, size array<string>, alignment string, environment array<string>, ruleset string"
+SPELL = "name string, source string, level int, school string, class array<string>, concentration boolean, ritual boolean, ruleset string"
+ITEM = "name string, source string, rarity string, kind string, attunement boolean, ruleset string"
 ENTITIES = {"creature": CREATURE, "spell": SPELL, "item": ITEM}
 
 

@@ -29,7 +29,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def read(spark: SparkSession, folder: str, schema: str, files_a_batch: int = 16) -> DataFrame:
+def read(spark: SparkSession, folder: str, schema, files_a_batch: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
 
 
