@@ -7,7 +7,9 @@ knapsack dynamic program prices the best pattern under the current weights, and
 lengths that it serves lose weight.  The averaged solution is rounded down within
 the counts that are there; what is left over goes through the program again with
 its own histogram, until rounding yields little, and the rest is placed best-fit
-decreasing, by counts.  Patterns with multiplicities are then matched with
+decreasing, by counts.  Best fit alone is the incumbent: on histograms where rounding
+ends above it (few pieces a length, many over half the capacity), its bins count.
+Patterns with multiplicities are then matched with
 ranked pieces by an interval table.
 
 Defined results: null or empty text is the end id alone, one piece; longer
@@ -131,7 +133,11 @@ def plan(count: np.ndarray, capacity: int = CAPACITY, passes: int = 5) -> list[t
                 used += copies * fill
         if used < 0.05 * before:
             break
-    return out + best_fit(left, capacity)
+    out += best_fit(left, capacity)
+    # the bins of plain best fit are an integral solution to start from; rounding
+    # must not end above it
+    start = best_fit(count, capacity)
+    return min(out, start, key=lambda p: sum(c for _, c in p))
 
 
 def best_fit(count: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
