@@ -52,11 +52,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def bucket_keys(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> np.ndarray:
     """(row, table, probe) bucket keys of unit vectors; probe 0 is the own bucket.
-    The others exchange one axis for the next nearest, the least loss first."""
+    The others exchange one axis for the next nearest, the least loss first; -1
+    where vectors are too short for as many."""
     d = 1 << max(1, int(x.shape[1] - 1).bit_length())
     padded = np.zeros((len(x), d))
     padded[:, : x.shape[1]] = x
-    out = np.empty((len(x), tables, probes), np.int64)
+    out = np.full((len(x), tables, probes), -1, np.int64)
     rng = np.random.default_rng(SEED)
     for t in range(tables):
         first, options = np.zeros(len(x), np.int64), []
@@ -76,7 +77,7 @@ def bucket_keys(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probe
         change = np.stack([o[1] for o in options], axis=1)
         best = np.argsort(loss, axis=1, kind="stable")[:, : probes - 1]
         out[:, t, 0] = first
-        out[:, t, 1:] = first[:, None] + np.take_along_axis(change, best, axis=1)
+        out[:, t, 1 : 1 + best.shape[1]] = first[:, None] + np.take_along_axis(change, best, axis=1)
     return out
 
 
@@ -151,6 +152,8 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
                 for t in range(keys.shape[1]):
                     for p in range(keys.shape[2]):
                         n = len(keys)
+                        if keys[0, t, p] < 0:
+                            continue
                         # the length goes with the table, so unequal lengths never meet
                         yield pa.record_batch({"label": part.column("label"), "tab": pa.array(np.full(n, t), pa.int32()), "size": pa.array(np.full(n, d), pa.int32()), "bucket": keys[:, t, p], "own": pa.array(np.full(n, p == 0)), "class": part.column("class"), "rep": part.column("rep"), "copies": part.column("copies"), "vector": part.column("vector")})
 
