@@ -107,12 +107,12 @@ def fallback_when_empty(spark, sf_dir):
 
 
 def entity_render(spark, sf_dir):
-    items = _items(spark, sf_dir).filter("id < 100").select("name", "kind", "rating")
+    items = _items(spark, sf_dir).select("name", "kind", "rating")
     return sinks.render(items, "summary").withColumn("output", F.lit("summary")).unionByName(sinks.render(items, "markdown").withColumn("output", F.lit("markdown")))
 
 
 def importer_contract(spark, sf_dir):
-    items = _items(spark, sf_dir).filter("id < 200")
+    items = _items(spark, sf_dir)
     plain = sinks.importer_text(F.col("name"), [F.concat(F.lit("Type "), "kind"), F.concat(F.lit("Rating "), F.col("rating").cast("string"))])
     prose = sinks.enriched_prose(F.col("name"), F.concat(F.lit("1d"), F.col("rating").cast("string")))
     both = items.select("id", plain.alias("text")).unionByName(items.select("id", prose.alias("text")))
@@ -166,10 +166,10 @@ UNION ALL SELECT collection, count(*), 'named' FROM d WHERE collection IN ('arch
 SELECT name, source, ruleset FROM r QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY CASE ruleset WHEN '2024' THEN 1 ELSE 2 END, source NULLS LAST) = 1""",
     "canonical_then_fallback": _fallback_sql("small ring"),
     "fallback_when_empty": _fallback_sql("no such ring"),
-    "entity_render": f"""SELECT name || ' | kind: ' || kind || ' | rating: ' || rating AS text, 'summary' AS output FROM {_ITEMS} WHERE id < 100
-UNION ALL SELECT '## ' || name || chr(10) || '- **kind**: ' || kind || chr(10) || '- **rating**: ' || rating, 'markdown' FROM {_ITEMS} WHERE id < 100""",
-    "importer_contract": f"""SELECT id, name || chr(10) || 'Type ' || kind || chr(10) || 'Rating ' || rating AS text, true AS importable FROM {_ITEMS} WHERE id < 200
-UNION ALL SELECT id, '**' || name || '** strikes for [[/r 1d' || rating || ']].', false FROM {_ITEMS} WHERE id < 200""",
+    "entity_render": f"""SELECT name || ' | kind: ' || kind || ' | rating: ' || rating AS text, 'summary' AS output FROM {_ITEMS}
+UNION ALL SELECT '## ' || name || chr(10) || '- **kind**: ' || kind || chr(10) || '- **rating**: ' || rating, 'markdown' FROM {_ITEMS}""",
+    "importer_contract": f"""SELECT id, name || chr(10) || 'Type ' || kind || chr(10) || 'Rating ' || rating AS text, true AS importable FROM {_ITEMS}
+UNION ALL SELECT id, '**' || name || '** strikes for [[/r 1d' || rating || ']].', false FROM {_ITEMS}""",
     "topk_per_group": "SELECT p_type, p_partkey, rank FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC NULLS LAST, p_partkey) AS rank FROM part) WHERE rank <= 3",
     "slug_hash_name": """SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '-' || left(sha256(p_name), 12) || '.png' AS file FROM part""",
 }

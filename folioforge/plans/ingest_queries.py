@@ -38,7 +38,7 @@ def classify_and_tag(spark, sf_dir):
 
 
 def next_steps(spark, sf_dir):
-    books = table(spark, sf_dir, "documents").select(F.concat(F.lit("book-"), F.col("doc_id").cast("string")).alias("slug"), (F.col("doc_id") % 2 == 0).alias("has_key"))
+    books = table(spark, sf_dir, "documents").select(F.concat(F.lit("book-"), F.col("doc_id").cast("string")).alias("slug"), (F.col("lang") == "en").alias("has_key"))
     return ingest.next_steps(books.select("slug", "has_key").withColumn("slug", F.concat("slug", F.when(F.col("has_key"), "-k").otherwise("-n"))), F.col("slug").endswith("-k"))
 
 
@@ -66,8 +66,8 @@ def book_overview(spark, sf_dir):
 
 def validate_sections(spark, sf_dir):
     plan = sections.html_plan(table(spark, sf_dir, "pages"))
-    broken = plan.filter((F.col("page_id") % 7 != 0) | (F.col("ord") != 2))
-    return sections.faults(broken, "page_id")
+    lost = plan.filter(~F.contains("heading", F.lit("and")))
+    return sections.faults(lost, "page_id")
 
 
 def link_edges(spark, sf_dir):
@@ -83,26 +83,26 @@ def link_resolution(spark, sf_dir):
 
 def drift_report(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    canonical = docs.filter("doc_id % 10 <> 3").select("doc_id", text.content_hash(F.col("text")).alias("hash"))
-    generated = docs.filter("doc_id % 10 <> 4").select("doc_id", text.content_hash(F.when(F.col("doc_id") % 10 == 5, F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("hash"))
+    canonical = docs.filter("lang <> 'fr'").select("doc_id", text.content_hash(F.col("text")).alias("hash"))
+    generated = docs.filter("lang <> 'es'").select("doc_id", text.content_hash(F.when(F.col("lang") == "de", F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("hash"))
     return integrity.drift(generated, canonical, "doc_id", "hash")
 
 
 def drift_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return integrity.symmetric_difference(docs.filter("doc_id % 3 <> 0").select("lang", "source"), docs.filter("doc_id % 3 <> 1").select("lang", "source")).groupBy("lang", "source", "side").agg(F.count("*").alias("n"))
+    return integrity.symmetric_difference(docs.filter("lang <> 'fr'").select("lang", "source"), docs.filter("source <> 'src3'").select("lang", "source")).groupBy("lang", "source", "side").agg(F.count("*").alias("n"))
 
 
 def mirror_changes(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), text.content_hash(F.col("text")).alias("hash"))
-    target = docs.filter("doc_id % 5 <> 0").withColumn("hash", F.when(F.col("doc_id") % 5 == 1, "old").otherwise(F.col("hash")))
-    return sinks.mirror_changes(docs.filter("doc_id % 5 <> 2").drop("doc_id"), target.drop("doc_id"))
+    docs = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").cast("string").alias("path"), text.content_hash(F.col("text")).alias("hash"))
+    target = docs.filter("lang <> 'fr'").withColumn("hash", F.when(F.col("lang") == "de", "old").otherwise(F.col("hash")))
+    return sinks.mirror_changes(docs.filter("lang <> 'es'").drop("lang"), target.drop("lang"))
 
 
 def pin_status(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     wanted = nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("pin"))
-    actual = nation.filter("n_nationkey % 4 <> 0").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 4 == 1, "0").otherwise(F.col("n_regionkey").cast("string")).alias("pin"))
+    actual = nation.filter("n_regionkey <> 4").select(F.col("n_name").alias("name"), F.when(F.col("n_regionkey") == 3, "0").otherwise(F.col("n_regionkey").cast("string")).alias("pin"))
     return integrity.pins(wanted, actual)
 
 
@@ -112,7 +112,7 @@ def cleanup_inventory(spark, sf_dir):
 
 
 def write_boundary(spark, sf_dir):
-    planned = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 4 == 0, "archive").when(F.col("doc_id") % 4 == 1, "rules").otherwise("notes").alias("collection"), F.concat(F.lit("vault/"), F.when(F.col("doc_id") % 4 == 2, "../").otherwise(""), "source").alias("path"), "doc_id")
+    planned = table(spark, sf_dir, "documents").select(F.when(F.col("lang") == "fr", "archive").when(F.col("lang") == "de", "rules").otherwise("notes").alias("collection"), F.concat(F.lit("vault/"), F.when(F.col("lang") == "es", "../").otherwise(""), "source").alias("path"), "doc_id")
     refused = integrity.forbidden_writes(planned).withColumn("why", F.lit("read-only"))
     return refused.unionByName(planned.filter(~text.inside(F.col("path"), "vault")).withColumn("why", F.lit("outside"))).select("doc_id", "why")
 
@@ -124,8 +124,8 @@ def index_status(spark, sf_dir):
 
 def index_update(spark, sf_dir):
     docs = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
-    old = docs.filter("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 1, F.lit("stale words")).otherwise(F.col("text")))
-    now = docs.filter("doc_id % 5 <> 2")
+    old = docs.filter("not contains(text, ' with ')").withColumn("text", F.when(F.contains("text", F.lit(" that ")), F.lit("stale words")).otherwise(F.col("text")))
+    now = docs.filter("not contains(text, ' from ')")
     state = ingest.hashed(old).select("doc_id", "source_hash")
     return ingest.refreshed_index(search.postings(old), now, state, search.postings)
 
@@ -190,7 +190,7 @@ v AS (SELECT *, {_count(VOTES['first'])} AS a, {_count(VOTES['second'])} AS b, {
 SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'unknown' WHEN a = greatest(a, b, c) THEN 'first' WHEN b = greatest(a, b, c) THEN 'second' ELSE 'third' END AS system,
 array_to_string(list_filter([CASE WHEN {_count(TAGS['contact'])} > 0 THEN 'contact' END, CASE WHEN {_count(TAGS['legal'])} > 0 THEN 'legal' END], lambda x: x IS NOT NULL), ',') AS tags,
 left(trim(split_part(text, chr(10), 1)), 60) AS summary FROM v""",
-    "next_steps": """WITH b AS (SELECT 'book-' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '-k' ELSE '-n' END AS slug, doc_id % 2 = 0 AS k FROM documents),
+    "next_steps": """WITH b AS (SELECT 'book-' || doc_id || CASE WHEN lang = 'en' THEN '-k' ELSE '-n' END AS slug, lang = 'en' AS k FROM documents),
 s AS (SELECT slug, CASE WHEN k THEN ['classify-system', 'summarize', 'tag', 'index-update', 'index-embed'] ELSE ['index-update', 'index-embed'] END AS steps FROM b)
 SELECT slug, unnest(generate_series(1, len(steps))) AS step, unnest(steps) AS command FROM s""",
     "section_plan": f"WITH {_PLAN} SELECT page_id, ord, heading, origin FROM plan",
@@ -200,23 +200,23 @@ k AS (SELECT page_id, ord, regexp_extract(block, '^<(h1|p)', 1) AS kind, regexp_
 SELECT page_id, ord, kind, length(text) AS chars, last_value(CASE WHEN kind = 'h1' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM k""",
     "section_spans": f"WITH {_SPAN} SELECT page_id, ord, page_from, page_to FROM span",
     "book_overview": f"WITH {_SPAN} SELECT page_id, count(*) AS n_sections, min(page_from) AS page_from, max(page_to) AS page_to, string_agg(heading, '/' ORDER BY ord) AS contents FROM span GROUP BY page_id",
-    "validate_sections": f"""WITH {_PLAN}, br AS (SELECT * FROM plan WHERE page_id % 7 <> 0 OR ord <> 2),
+    "validate_sections": f"""WITH {_PLAN}, br AS (SELECT * FROM plan WHERE NOT contains(heading, 'and')),
 g AS (SELECT page_id, count(*) AS n, min(ord) AS lo, max(ord) AS hi, count(DISTINCT ord) AS d, count(*) FILTER (coalesce(trim(heading), '') = '') AS bare FROM br GROUP BY 1)
 SELECT page_id, 'ordinals' AS fault FROM g WHERE lo <> 1 OR hi <> n OR d <> n UNION ALL SELECT page_id, 'heading' FROM g WHERE bare > 0""",
     "link_edges": """SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages) GROUP BY 1, 2""",
     "link_resolution": r"""WITH e AS (SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages),
 t AS (SELECT regexp_replace(regexp_replace(lower(regexp_extract(url, '[^/]*$')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS s, min(url) AS dst FROM pages GROUP BY 1)
 SELECT src, target, dst FROM e LEFT JOIN t ON regexp_replace(regexp_replace(lower(target), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') = t.s""",
-    "drift_report": "SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN 'extra' WHEN 4 THEN 'missing' ELSE 'changed' END AS state FROM documents WHERE doc_id % 10 IN (3, 4, 5)",
-    "drift_rows": """WITH a AS (SELECT lang, source FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT lang, source FROM documents WHERE doc_id % 3 <> 1)
+    "drift_report": "SELECT doc_id, CASE lang WHEN 'fr' THEN 'extra' WHEN 'es' THEN 'missing' ELSE 'changed' END AS state FROM documents WHERE lang IN ('fr', 'es', 'de')",
+    "drift_rows": """WITH a AS (SELECT lang, source FROM documents WHERE lang <> 'fr'), b AS (SELECT lang, source FROM documents WHERE source <> 'src3')
 SELECT lang, source, side, count(*) AS n FROM (SELECT *, 'generated' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'canonical' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY ALL""",
-    "mirror_changes": "SELECT CAST(doc_id AS VARCHAR) AS path, CASE doc_id % 5 WHEN 0 THEN 'add' WHEN 2 THEN 'remove' ELSE 'replace' END AS change FROM documents WHERE doc_id % 5 IN (0, 1, 2)",
+    "mirror_changes": "SELECT CAST(doc_id AS VARCHAR) AS path, CASE lang WHEN 'fr' THEN 'add' WHEN 'es' THEN 'remove' ELSE 'replace' END AS change FROM documents WHERE lang IN ('fr', 'es', 'de')",
     "pin_status": """SELECT n.n_name AS name, CAST(n.n_regionkey AS VARCHAR) AS wanted, a.pin AS actual, CASE WHEN a.pin IS NULL THEN 'absent' WHEN a.pin = CAST(n.n_regionkey AS VARCHAR) THEN 'current' ELSE 'behind' END AS state
-FROM nation n LEFT JOIN (SELECT n_name, CASE WHEN n_nationkey % 4 = 1 THEN '0' ELSE CAST(n_regionkey AS VARCHAR) END AS pin FROM nation WHERE n_nationkey % 4 <> 0) a USING (n_name)""",
+FROM nation n LEFT JOIN (SELECT n_name, CASE WHEN n_regionkey = 3 THEN '0' ELSE CAST(n_regionkey AS VARCHAR) END AS pin FROM nation WHERE n_regionkey <> 4) a USING (n_name)""",
     "cleanup_inventory": "SELECT source AS scope, count(*) AS n, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents WHERE source <> 'src7' GROUP BY 1",
-    "write_boundary": "SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'outside' ELSE 'read-only' END AS why FROM documents WHERE doc_id % 4 < 3",
+    "write_boundary": "SELECT doc_id, CASE WHEN lang = 'es' THEN 'outside' ELSE 'read-only' END AS why FROM documents WHERE lang IN ('fr', 'de', 'es')",
     "index_status": "SELECT 'documents' AS collection, count(*) AS n, max(doc_id) AS latest FROM documents UNION ALL SELECT 'benchmark', count(*), max(item_id) FROM benchmark",
-    "index_update": r"""SELECT doc_id, term, count(*) AS tf FROM (SELECT item_id AS doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id % 5 <> 2) GROUP BY 1, 2""",
+    "index_update": r"""SELECT doc_id, term, count(*) AS tf FROM (SELECT item_id AS doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE NOT contains(text, ' from ')) GROUP BY 1, 2""",
     "embed_pending": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "doctor_report": """SELECT 'text' AS name, count(*) FILTER (text IS NULL) = 0 AS ok, count(*) FILTER (text IS NULL) AS n FROM documents
 UNION ALL SELECT 'length', count(*) FILTER (length(text) <> n_chars) = 0, count(*) FILTER (length(text) <> n_chars) FROM documents
