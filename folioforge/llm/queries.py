@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import sql
 from .decontaminate import op10_decontaminate
 from .langid import op9_langid
 from .packing import op7_packing
@@ -26,4 +27,8 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard": sql.JACCARD,
+    "op6_substrings": sql.WINDOWS,
+    "op8_vectors": sql.VECTORS,
+}
