@@ -28,6 +28,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffixes": sql.STRINGS,
     "op5_jaccard": sql.JACCARD,
     "op6_substrings": sql.WINDOWS,
     "op8_vectors": sql.VECTORS,

@@ -26,3 +26,13 @@ r AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b
 c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY 1),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
 SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+#: Bytes as hex digits; strings of 400 bytes by their md5.
+STRINGS = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+e AS (SELECT doc_id, unnest(generate_series(0, len(x) // 2 - 1)) AS i, x FROM d),
+k AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS byte, CASE WHEN 2 * i + 800 <= len(x) THEN md5(substr(x, 2 * i + 1, 800)) END AS win FROM e),
+f AS (SELECT doc_id, i, byte, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM k),
+g AS (SELECT doc_id, i, byte, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM f),
+h AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM g),
+a AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM h GROUP BY 1)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN a USING (doc_id)"""
