@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,12 +105,13 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1), modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
+        size = -(-n // (1 << 16)) << 16
         out = np.ones(size, np.uint64)
         done = 1
         while done < size:
-            out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, 1 << 64))
-            done *= 2
+            more = min(done, size - done)
+            out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
+            done += more
         _powers[base] = have = out
     return have[:n]
 

@@ -85,24 +85,30 @@ def units(rolling: Rolling, rows: np.ndarray, width: int, gram: int) -> Units:
     bits = np.uint64(int(n).bit_length())
     grams = rolling.spans(slice(None), gram)
     last = np.uint64(len(grams) - 1)
-    key = (grams >> bits << bits) | (last - np.arange(len(grams), dtype=np.uint64))
-    low, step, span = key, 1, width - gram + 1
+    # the place makes keys unique: the low one of a window tells its anchor
+    low = grams >> bits << bits
+    low |= last - np.arange(len(grams), dtype=np.uint64)
+    step, span = 1, width - gram + 1
     while step * 2 <= span:
         low = np.minimum(low[:-step], low[step:])
         step *= 2
     windows = n - width + 1
     low = np.minimum(low[:windows], low[span - step : span - step + windows])
-    place = (last - (low & ((np.uint64(1) << bits) - np.uint64(1)))).astype(np.int64)
-    size = np.diff(rows)
-    row = np.repeat(np.arange(len(size)), size)[:windows]
-    inside = np.arange(windows) + width <= rows[1:][row]
+    full = np.flatnonzero(np.diff(rows) >= width)
+    edge = np.zeros(windows + 1, np.int8)
+    edge[rows[full]] += 1
+    np.add.at(edge, rows[full + 1] - width + 1, -1)
+    inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
     opens = inside.copy()
-    opens[1:] &= ~inside[:-1] | (place[1:] != place[:-1]) | (row[1:] != row[:-1])
+    opens[1:] &= low[1:] != low[:-1]
+    opens[rows[full]] = True
     start = np.flatnonzero(opens)
-    count = np.bincount(np.cumsum(opens)[inside], minlength=len(start) + 1)[1:]
+    place = (last - (low[start] & ((np.uint64(1) << bits) - np.uint64(1)))).astype(np.int64)
+    del low
+    count = np.add.reduceat(inside, start, dtype=np.int64) if len(start) else none
     end = start + count + width - 1
     whole = C.mix((rolling.total[end] - rolling.total[start]) * C.powers(rolling.inverse, len(rolling.total))[start] + count.astype(np.uint64))
-    return Units(start, count, row[start], place[start], grams[place[start]], whole)
+    return Units(start, count, np.searchsorted(rows, start, side="right") - 1, place, grams[place], whole)
 
 
 def _cells(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
