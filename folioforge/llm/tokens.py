@@ -8,8 +8,8 @@ slice of the mapped file.  Beside each file lies `<part>.docs.arrow` with
 (doc_id, start, n_tokens).  `read_token_files` maps them back.
 
 Defined results: null or empty text gives the end id alone; an empty table gives
-no files and no rows; repeated doc_ids stay separate rows, ties in file order as
-the text decides; null ids come first; other columns are ignored.
+no files and no rows; repeated doc_ids stay separate rows, ties in the order of
+a hash of the text; null ids come first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -242,7 +242,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, length: int = SEQ
             file.write_table(index)
         yield pa.record_batch({"part": pa.array([task.partitionId()], pa.int32()), "file": [name], "n_docs": pa.array([index.num_rows], pa.int64()), "n_tokens": pa.array([int(at)], pa.int64())})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the range sort samples its keys to the driver: a hash there, not the text
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return ordered.mapInArrow(write, "part int, file string, n_docs long, n_tokens long")
 
 
