@@ -186,12 +186,12 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int, ones: float = 0.5) -> DataFrame:
     """At most `most` labelled rows (doc_id, text, y) outside the held-out fold,
-    half of each label, those of the smallest id hash.  Rows without an id, or with a label other
+    the share `ones` of them for label 1, those of the smallest id hash.  Rows without an id, or with a label other
     than 0 or 1, are left out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held))
-    one, zero = (known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for y in (1, 0))
+    one, zero = (known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for y, k in ((1, int(most * ones)), (0, most - int(most * ones))))
     wanted = one.unionByName(zero)
     # most rows of two numbers: a size that the parameter bounds
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")

@@ -26,6 +26,8 @@ TRAIN_ROWS = 12_000
 BITS = 16
 WIDTH = 3 << BITS  # word 1-grams, word 2-grams, character 3-grams
 CHUNK = 1 << 20
+#: Share of the sample that label 1 may take.
+POSITIVE = 0.8
 
 
 def indicators(raw: pa.Array) -> np.ndarray:
@@ -52,10 +54,12 @@ def indicators(raw: pa.Array) -> np.ndarray:
 
 
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    """Of the shares of each class's texts that have a feature: a feature seen
+    equally often, or never, has ratio 0, however long the texts of a class are."""
     p, q = np.full(WIDTH, alpha), np.full(WIDTH, alpha)
     for f, label in zip(rows, y, strict=True):
         (p if label else q)[f] += 1
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+    return np.log(p / (y.sum() + 2 * alpha)) - np.log(q / (len(y) - y.sum() + 2 * alpha))
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -100,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
             has = indicators(raw)
             yield pa.record_batch({"doc_id": rows.column(0), "y": rows.column(2), "f": pa.array([np.flatnonzero(h).astype(np.int32) for h in has], pa.list_(pa.int32()))})
 
-    sample = C.labelled_sample(docs, labels, label, modulus, held, most).mapInArrow(featurise, "doc_id long, y int, f array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    sample = C.labelled_sample(docs, labels, label, modulus, held, most, POSITIVE).mapInArrow(featurise, "doc_id long, y int, f array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     y = sample["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         return {"share": float(y.mean()) if len(y) else 0.5}
