@@ -47,6 +47,7 @@ FEW = 8
 NEAR = 8
 BLOOM_BITS = 26
 LIMIT = 2 << 20
+WORK = 500_000
 _TOP = 1 << 62
 _SOME = 1 << 61
 
@@ -129,7 +130,7 @@ def frequencies(docs: DataFrame, rule: Rule, one_in: int = COMMON, few: int = FE
             h = shingle_sets(raw, rule.k)[1]
             seen.append(h)
             texts, size = texts + len(raw), size + len(h)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield out()
                 seen, texts, size = [], 0, 0
         if seen:
@@ -208,9 +209,12 @@ def close_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule, whole: bool) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # bounded work: a few hundred pairs of sets at a time
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            # bounded work: pairs of WORK members in all at a time, one pair at least
+            size = np.cumsum([pa.compute.list_value_length(batch.column(c)).to_numpy() for c in ("x", "y")], axis=1).sum(axis=0)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + WORK, side="right")))
+                part, at = batch.slice(at, to - at), to
                 x, y = part.column("x"), part.column("y")
                 n, m = part.column("n").to_numpy(), part.column("m").to_numpy()
                 a, b = (np.asarray(s.flatten(), np.int64) for s in (x, y))
