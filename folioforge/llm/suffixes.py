@@ -31,7 +31,7 @@ from . import common as C
 from . import repeats as R
 
 WIDTH, GRAM = 400, 64
-LIMIT = 2 << 20
+LIMIT = 1 << 20
 BATCH = 8_192
 #: Units of an anchor from which classes take the place of pairs.
 CROWD = 48
