@@ -35,21 +35,19 @@ def _weight(tf: Column, df: Column, n: Column, size: Column, mean: Column) -> Co
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
 
 
-def _count(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(term)))
-
-
 def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", body: str = "text") -> DataFrame:
     """(key, score) of the documents that hold a term, without an index: one scan
-    for the statistics, a row of them broadcast, one scan for the scores.  Neither
-    shuffles more than partial sums."""
+    for the statistics, a row of them broadcast, one scan for the scores.  Only
+    partial sums and the query terms' own hits are shuffled.  (The generator keeps
+    Catalyst from copying the tokenizer into pushed filters.)"""
     terms = list(dict.fromkeys(t.lower() for t in terms))
-    found = docs.select(key, text.tokens(F.col(body)).alias("_t"))
-    found = found.select(key, F.coalesce(F.size("_t"), F.lit(0)).cast("double").alias("_len"), *[F.coalesce(_count(F.col("_t"), t), F.lit(0)).cast("double").alias(f"_tf{i}") for i, t in enumerate(terms)])
-    stats = found.agg(F.count("*").cast("double").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("double")).alias(f"_df{i}") for i in range(len(terms))])
-    some = found.filter(sum((F.col(f"_tf{i}") for i in range(len(terms))), F.lit(0.0)) > 0)
-    score = sum((_weight(F.col(f"_tf{i}"), F.col(f"_df{i}"), F.col("_n"), F.col("_len"), F.col("_avg")) for i in range(len(terms))), F.lit(0.0))
-    return some.join(F.broadcast(stats), how="cross").select(key, score.alias("score"))
+    words = docs.select(key, text.tokens(F.col(body)).alias("_t"))
+    found = words.select(key, F.coalesce(F.size("_t"), F.lit(0)).cast("double").alias("_len"), F.filter("_t", lambda w: w.isin(*terms)).alias("_hits"))
+    df = F.map_from_arrays(F.array(*[F.lit(t) for t in terms]), F.array(*[F.sum(F.coalesce(F.array_contains("_hits", t), F.lit(False)).cast("double")) for t in terms]))
+    stats = found.agg(F.count("*").cast("double").alias("_n"), F.avg("_len").alias("_avg"), df.alias("_df"))
+    hits = found.select(key, "_len", F.explode("_hits").alias("_term")).groupBy(key, "_len", "_term").agg(F.count("*").cast("double").alias("_tf"))
+    weight = _weight(F.col("_tf"), F.col("_df")[F.col("_term")], F.col("_n"), F.col("_len"), F.col("_avg"))
+    return hits.join(F.broadcast(stats), how="cross").groupBy(key).agg(F.sum(weight).alias("score"))
 
 
 def bm25_indexed(index: DataFrame, sizes: DataFrame, terms: list[str], key: str = "doc_id") -> DataFrame:
