@@ -31,6 +31,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return hashed(docs).groupBy("source_hash").agg(F.min(key).alias("first"), F.count("*").alias("n"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _votes(words: Column, keywords: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*keywords)))
 
@@ -38,13 +43,14 @@ def _votes(words: Column, keywords: list[str]) -> Column:
 def classify(c: Column, votes: dict[str, list[str]], default: str = "unknown") -> Column:
     """The class whose keywords occur most often as tokens; ties go to the class
     named first, no votes to the default.  Any column function may take its place."""
-    words = text.tokens(c)
-    counts = [_votes(words, k) for k in votes.values()]
-    best = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    out = F.lit(default)
-    for name, count in reversed(list(zip(votes, counts, strict=True))):
-        out = F.when((count == best) & (best > 0), name).otherwise(out)
-    return F.when(c.isNull(), default).otherwise(out)
+    names = F.array(*[F.lit(n) for n in votes])
+
+    def first(counts: Column) -> Column:
+        best = F.array_max(counts)
+        return F.when(best > 0, F.element_at(names, F.array_position(counts, best).cast("int"))).otherwise(default)
+
+    counted = _once(text.tokens(c), lambda words: F.array(*[_votes(words, k) for k in votes.values()]))
+    return F.when(c.isNull(), default).otherwise(_once(counted, first))
 
 
 def summarise(c: Column, n: int = 120) -> Column:
@@ -54,8 +60,7 @@ def summarise(c: Column, n: int = 120) -> Column:
 
 def tag(c: Column, rules: dict[str, list[str]]) -> Column:
     """Tags of which a keyword occurs, in alphabetical order."""
-    words = text.tokens(c)
-    return F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*[F.lit(k) for k in rules[t]])), F.lit(t)) for t in sorted(rules)]))
+    return _once(text.tokens(c), lambda words: F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*[F.lit(k) for k in rules[t]])), F.lit(t)) for t in sorted(rules)])))
 
 
 def overridden(auto: DataFrame, manual: DataFrame, key: str, column: str) -> DataFrame:
