@@ -1,11 +1,12 @@
-"""Operator 10: benchmark decontamination by rare seeds and local alignment.
+"""Operator 10: benchmark decontamination by n-gram seeds and local alignment.
 
-Words are runs of letters and digits, ASCII case left out.  A first pass counts in
-how many documents each n-gram of the test items occurs.  Each item's rarest
-n-grams (half of them, SEEDS at least) are its seeds; a second pass finds seeds in
-the documents, and aligns the item with the passage around each by Smith-Waterman
-over words (match 2, mismatch -1, gap -1).  The score is the best alignment's over
-that of the whole item with itself; pairs of THRESHOLD or more are reported.
+Words are runs of letters and digits, ASCII case left out.  Every n-gram of a test
+item is a seed, so an edited or partial copy is found by whichever of them it still
+holds.  Each passage around a seed with enough of the item's words to reach the
+threshold is aligned with the item by Smith-Waterman over words (match 2, mismatch
+-1, gap -1).  The score is the best alignment's over that of the whole item with
+itself; pairs of THRESHOLD or more are reported.  A copy that shares no N successive
+words with its item is no candidate.
 
 Items come to the tasks by broadcast in blocks of BLOCK_BYTES text at most, each
 block against all documents.  Defined results: null or empty texts and items, and
@@ -27,12 +28,13 @@ from . import common as C
 from . import repeats as R
 
 N = 3
-SEEDS = 16
 THRESHOLD = 0.5
 BLOCK_BYTES = 16 << 20
 LIMIT = 2 << 20
 MATCH, MISMATCH, GAP = 2, 1, 1
 _FILTER = 20
+_HITS = 1_000_000
+_CELLS = 4_000_000
 
 
 def grams(w: C.Words, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +47,7 @@ def grams(w: C.Words, n: int = N) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """Test items: words, grams, and later the seeds among them."""
+    """Test items: words, and their grams in order of hash."""
 
     def __init__(self, ids: list, texts: pa.Array):
         w = C.Words(texts, lower=True, gaps=C.PUNCTUATION)
@@ -57,24 +59,36 @@ class Items:
         for i in np.flatnonzero((w.count > 0) & (w.count < N)):
             n = int(w.count[i])
             self.short[n].setdefault(int(grams_of(w.hash[w.first[i] : w.first[i + 1]], n)[0]), []).append(int(i))
-        self.item, self.offset, self.gram = row[at], at - w.first[row[at]], value
+        order = np.argsort(value, kind="stable")
+        at, self.gram = at[order], value[order]
+        self.item = row[at]
+        self.offset = at - w.first[self.item]
         self.values = np.unique(value)
         self.table = np.zeros(1 << _FILTER, bool)
         self.table[(self.values >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
-
-    def choose(self, found: np.ndarray) -> None:
-        """Keep the seeds; found: document counts of self.values."""
-        df = found[np.searchsorted(self.values, self.gram)]
-        order = np.lexsort((self.offset, self.gram, df, self.item))
-        item = self.item[order]
-        rank = np.arange(len(item)) - np.searchsorted(item, item)
-        size = np.bincount(item, minlength=len(self.ids))[item]
-        keep = order[rank < np.maximum(SEEDS, -(-size // 2))]
-        keep = keep[np.argsort(self.gram[keep], kind="stable")]
-        self.item, self.offset, self.gram = self.item[keep], self.offset[keep], self.gram[keep]
-        self.values = np.unique(self.gram)
-        self.table[:] = False
-        self.table[(self.values >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
+        # the (item, word) pairs, with some false hits
+        self.bits = max(16, (8 * len(w.hash)).bit_length())
+        self.known = np.zeros(1 << self.bits, bool)
+        self.known[self.cell(row, w.hash)] = True
+
+    def cell(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return (C.mix(word + C.mix(item.astype(np.uint64))) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def enough(self, w: C.Words, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether so many words of the passages are the item's that the score can
+        be the threshold: it is at most their share of the item's length."""
+        out, size = np.zeros(len(item), bool), hi - lo
+        end = np.cumsum(size)
+        at = 0
+        while at < len(item):
+            done = end[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(end, done + _CELLS, side="right")))
+            many, start = size[at:to], end[at:to] - size[at:to] - done
+            where = np.repeat(lo[at:to] - start, many) + np.arange(many.sum())
+            there = self.known[self.cell(np.repeat(item[at:to], many), w.hash[where])]
+            out[at:to] = np.add.reduceat(there, start, dtype=np.int64) >= threshold * self.count[item[at:to]] - 1e-9
+            at = to
+        return out
 
     def hits(self, h: np.ndarray) -> np.ndarray:
         """Places of the grams that are among the values."""
@@ -109,14 +123,10 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, n
     return best, end
 
 
-def _candidates(w: C.Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, from word, to word) of the passages around seeds."""
-    at, h = grams(w)
-    hit = items.hits(h)
-    at, h = at[hit], h[hit]
-    a, b = np.searchsorted(items.gram, h), np.searchsorted(items.gram, h, side="right")
-    many = b - a
-    seed = np.repeat(a - np.cumsum(many) + many, many) + np.arange(many.sum())
+def _around(w: C.Words, items: Items, at: np.ndarray, first: np.ndarray, many: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows (row, item, from word, to word) of the seeds at these words; first, many:
+    where the gram stands among the items' grams."""
+    seed = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
     at = np.repeat(at, many)
     item = items.item[seed]
     row = np.searchsorted(w.first, at, side="right") - 1
@@ -125,6 +135,25 @@ def _candidates(w: C.Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.nd
     # passages that begin within a stretch of 8 words are one
     begin = (at - items.offset[seed]) // 8 * 8
     lo, hi = np.maximum(w.first[row], begin - slack), np.minimum(w.first[row + 1], begin + 8 + size + slack)
+    found = np.unique(np.stack([row, item, lo, hi], axis=1), axis=0)
+    return found[items.enough(w, *found[:, 1:].T, threshold)]
+
+
+def _candidates(w: C.Words, items: Items, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, from word, to word) of the passages around seeds that can reach
+    the threshold."""
+    at, h = grams(w)
+    hit = items.hits(h)
+    at, h = at[hit], h[hit]
+    a, b = np.searchsorted(items.gram, h), np.searchsorted(items.gram, h, side="right")
+    end = np.cumsum(b - a)
+    parts, done = [np.zeros((0, 4), np.int64)], 0
+    while done < len(at):
+        # of common grams only so many pairs at a time
+        to = max(done + 1, int(np.searchsorted(end, (end[done - 1] if done else 0) + _HITS, side="right")))
+        parts.append(_around(w, items, at[done:to], a[done:to], (b - a)[done:to], threshold))
+        done = to
+    row, item, lo, hi = np.concatenate(parts).T
     for n, known in items.short.items():
         if known and len(w.hash) >= n:
             value, rows = grams_of(w.hash, n), w.row_of()
@@ -134,13 +163,14 @@ def _candidates(w: C.Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.nd
             if pairs:
                 x = np.array(pairs, np.int64)
                 row, item, lo, hi = (np.concatenate(c) for c in zip((row, item, lo, hi), x.T, strict=True))
-    found = np.unique(np.stack([row, item, lo, hi], axis=1), axis=0) if len(row) else np.zeros((0, 4), np.int64)
+    found = np.unique(np.stack([row, item, lo, hi], axis=1), axis=0)
     return found[:, 0], found[:, 1], found[:, 2], found[:, 3]
 
 
-def align(w: C.Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, score, last word) of all passages around seeds."""
-    row, item, lo, hi = _candidates(w, items)
+def align(w: C.Words, items: Items, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, score, last word) of the passages around seeds that can reach the
+    threshold."""
+    row, item, lo, hi = _candidates(w, items, threshold)
     score, last = np.zeros(len(row)), np.zeros(len(row), np.int64)
     order = np.argsort(items.count[item], kind="stable")  # like sizes together
     at = 0
@@ -161,28 +191,6 @@ def align(w: C.Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return row, item, score, last
 
 
-def document_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each gram of the items occurs."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sent.value.values), np.int64)
-        for _, raw in C.chunks(batches, limit=LIMIT):
-            w = C.Words(raw, lower=True, gaps=C.PUNCTUATION)
-            at, h = grams(w)
-            hit = sent.value.hits(h)
-            row = np.searchsorted(w.first, at[hit], side="right") - 1
-            pair = np.unique(np.stack([row, np.searchsorted(sent.value.values, h[hit])], axis=1), axis=0) if len(hit) else np.zeros((0, 2), np.int64)
-            total += np.bincount(pair[:, 1], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.record_batch({"gram": pa.array(some), "n": pa.array(total[some])})
-
-    got = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(items.values), np.int64)
-    out[got["gram"].to_numpy()] = got["n"].to_numpy()
-    return out
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, k, item_id, score, last_word) of the documents that hold a copy of
     an item; k as in repeats.keyed."""
@@ -194,13 +202,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     for b in range(blocks):
         got = tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
         items = Items(got["item_id"].to_pylist(), C.text_bytes(got["text"]))
-        items.choose(document_counts(docs, items))
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for rows, raw in C.chunks(batches, limit=LIMIT):
                 w = C.Words(raw, lower=True, gaps=C.PUNCTUATION)
-                row, item, score, last = align(w, sent.value)
+                row, item, score, last = align(w, sent.value, threshold)
                 keep = score >= threshold
                 row = row[keep]
                 ids = np.array(sent.value.ids, np.int64)

@@ -1,6 +1,7 @@
 """Trained operators, alignment, vectors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,45 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.contaminated(docs, tests.limit(0)).count() == 0
 
 
+def test_decontaminate_only_copy_is_edited(spark):
+    """Copies without many of the item's grams, one corpus each."""
+    item = [f"q{i}" for i in range(50)]
+    copies = {
+        "every fifth word": [w if i % 5 else f"z{i}" for i, w in enumerate(item)],
+        "every fourth word": [w if i % 4 else f"z{i}" for i, w in enumerate(item)],
+        "30 % of the words": [w if (i * 7) % 10 > 2 or i < 4 else f"z{i}" for i, w in enumerate(item)],
+        "first part": item[:27],
+        "last part": item[-26:],
+        "words put in": [x for i, w in enumerate(item) for x in ([w, f"z{i}"] if i % 4 == 3 else [w])],
+    }
+    tests = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for name, words in copies.items():
+        alone = spark.createDataFrame([(1, " ".join(["pre"] * 20 + words + ["post"] * 20)), (2, " ".join(item[:20])), (3, "q1 q2 q3")], "doc_id long, text string")
+        score = brute_smith_waterman(item, words) / 100
+        got = [(r["doc_id"], r["score"]) for r in decontaminate.contaminated(alone, tests).collect()]
+        assert score >= decontaminate.THRESHOLD and got == [(1, score)], name
+
+
+def test_every_alignment_that_reaches_the_threshold_counts(monkeypatch):
+    """Random texts of few words, so that grams are common: as without the filter of
+    passages, and with a few hits at a time."""
+    rng = np.random.default_rng(9)
+    words = [f"v{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words, int(n)).tolist()) for n in rng.integers(0, 60, 60)]
+    items = decontaminate.Items(list(range(20)), common.text_bytes(pa.array([" ".join(rng.choice(words, int(n)).tolist()) for n in rng.integers(0, 25, 20)])))
+    w = common.Words(common.text_bytes(pa.array(texts)), lower=True, gaps=common.PUNCTUATION)
+
+    def found(threshold):
+        row, item, score, _ = decontaminate.align(w, items, threshold)
+        return {(int(r), int(i), float(s)) for r, i, s in zip(row, item, score, strict=True) if s >= 0.5}
+
+    whole = found(0.0)
+    assert len(whole) > 20 and found(0.5) == whole
+    monkeypatch.setattr(decontaminate, "_HITS", 3)
+    monkeypatch.setattr(decontaminate, "_CELLS", 50)
+    assert found(0.5) == whole
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(30, 24))
