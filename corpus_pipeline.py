@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     id stays (of equal ids that of smallest row key); documents without words stay."""
     docs = docs.select(*COLUMNS)
     found = C.stored(shingles.similar(docs, 5, 4, 5), "groups")
-    first = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("first")).select(F.col("first.k").alias("k"))
+    first = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("first")).select(F.col("first.k").alias("k"))
     rows = repeats.keyed(docs, COLUMNS[2:])
     kept = rows.join(first.distinct(), "k", "left_semi").dropDuplicates(["k"])
     empty = found.filter("n_shingles = 0").select("k").distinct()

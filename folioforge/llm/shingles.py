@@ -363,8 +363,9 @@ def by_token(postings: DataFrame, settle, order: list[str], schema: str) -> Data
 
 
 def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """(doc_id, k, n_shingles, component_id): component_id is the smallest doc_id
-    reachable by links."""
+    """(doc_id, k, n_shingles, component_id, root): component_id is the smallest
+    doc_id reachable by links.  Where ids are null or repeat, components can share it;
+    root, the smallest class, is a component's own (0 for all empty sets)."""
     rule = Rule(k, num, den)
     base = C.stored(signed(docs, rule, *frequencies(docs, rule)), "signed")
     classes = base.filter("n > 0").groupBy("c").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -398,8 +399,8 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFram
     named = C.stored(named, "named")
     least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "root", "left")
-    return out.select("doc_id", "k", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "k", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(C.table(spark, sf_dir, "documents"), 4, 85, 100).drop("k")
+    return similar(C.table(spark, sf_dir, "documents"), 4, 85, 100).drop("k", "root")

@@ -58,6 +58,15 @@ def test_stages(spark, folder):
     assert sorted(tuple(r)[:3] for r in P.run(spark, folder).collect()) == sorted(r[:3] for r in after)
 
 
+def test_near_duplicates_without_own_ids(spark):
+    """Unlike texts whose ids are null or equal all stay; their near copies go."""
+    text = {name: " ".join(f"{name}{i}" for i in range(60)) for name in "abcdefg"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"] + " more"), (7, text["c"]), (7, text["d"]), (7, text["d"]), (8, text["e"]), (None, text["e"]), (7, text["f"]), (3, text["f"] + " more"), (3, text["g"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"][0]) for r in P.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(None, "a"), (None, "b"), (7, "c"), (7, "d"), (8, "e"), (3, "f"), (3, "g")], key=repr)
+
+
 def test_empty(spark, folder):
     docs = common.table(spark, folder, "documents").limit(0)
     for name, stage in P.STAGES:
