@@ -8,24 +8,27 @@ one symbol in (width - gram + 2) / 2 begins one.
 
 A count-min sketch over the anchors (two rows of saturating counters, summed from
 sketches of the partitions) then tells the anchors that may occur twice; it
-overestimates, so none is lost.  Its size is fixed by SKETCH_BITS, whatever the
-input; a larger input needs a larger one to keep selecting as well.
+overestimates, so none is lost.  Its size follows the counted bytes of the input,
+eight counters or more an anchor in either row, from 2**LEAST_BITS to 2**MOST_BITS:
+up to 7e7 anchors (11 GB of text for op3, 4 GB for op6) one unique anchor in seventy
+passes for nothing, at 2e8 anchors one in twelve; beyond that results stay exact, but
+less and less is left out.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-SKETCH_BITS = 26
+LEAST_BITS, MOST_BITS = 20, 29
 BLOCK_BITS = 16
 #: Estimated number of different units of an anchor (counted by partition) from which
 #: each of its windows is a unit of its own.
@@ -116,28 +119,36 @@ def _cells(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 class Sketch:
-    """The merged counters, as two bitmaps a row: two occurrences or more, HOT
-    different units or more."""
+    """The merged counters, a row each: a bitmap of those of two occurrences or
+    more, and the few of HOT different units or more."""
 
     def __init__(self, bits: int):
         self.bits = bits
         self.two = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
-        self.hot = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
+        self.hot = [np.zeros(0, np.int64) for _ in range(2)]
 
-    def _all(self, maps: list[np.ndarray], anchor: np.ndarray) -> np.ndarray:
+    def repeated(self, anchor: np.ndarray) -> np.ndarray:
         out = np.ones(len(anchor), bool)
-        for table, cell in zip(maps, _cells(anchor, self.bits), strict=True):
+        for table, cell in zip(self.two, _cells(anchor, self.bits), strict=True):
             out &= (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
         return out
 
-    def repeated(self, anchor: np.ndarray) -> np.ndarray:
-        return self._all(self.two, anchor)
-
     def crowded(self, anchor: np.ndarray) -> np.ndarray:
-        return self._all(self.hot, anchor)
+        out = np.ones(len(anchor), bool)
+        if not all(map(len, self.hot)):
+            return ~out
+        for hot, cell in zip(self.hot, _cells(anchor, self.bits), strict=True):
+            out &= hot[np.minimum(np.searchsorted(hot, cell), len(hot) - 1)] == cell
+        return out
 
 
-def sketch(docs: DataFrame, chunk_units: Callable, limit: int, bits: int = SKETCH_BITS, hot: int = HOT) -> Sketch:
+def sketch_bits(docs: DataFrame, step: float) -> int:
+    """Counters for one anchor in `step` bytes: eight to sixteen for each of them."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(np.clip(np.ceil(np.log2(max(1, 8 * total / step))), LEAST_BITS, MOST_BITS))
+
+
+def sketch(docs: DataFrame, chunk_units: Callable, limit: int, bits: int, hot: int = HOT) -> Sketch:
     """chunk_units: Units of a chunk's raw texts.  The driver receives the merged
     bitmaps, 2 ** (bits - 1) bytes at most."""
     block = min(bits, BLOCK_BITS)
@@ -173,7 +184,7 @@ def sketch(docs: DataFrame, chunk_units: Callable, limit: int, bits: int = SKETC
         at, total, different = None, np.zeros(1 << block, np.int64), np.zeros(1 << block, np.int64)
 
         def out() -> pa.RecordBatch:
-            return pa.record_batch({"line": pa.array([at[0]], pa.int32()), "block": pa.array([at[1]], pa.int32()), "two": [np.packbits(total >= 2).tobytes()], "hot": [zlib.compress(np.packbits(different >= hot).tobytes(), 1)]})
+            return pa.record_batch({"line": pa.array([at[0]], pa.int32()), "block": pa.array([at[1]], pa.int32()), "two": [np.packbits(total >= 2).tobytes()], "hot": [np.flatnonzero(different >= hot).astype(np.int32).tobytes()]})
 
         for batch in batches:
             for line, number, data in zip(*(batch.column(c).to_pylist() for c in ("line", "block", "data")), strict=True):
@@ -191,9 +202,9 @@ def sketch(docs: DataFrame, chunk_units: Callable, limit: int, bits: int = SKETC
     merged = docs.select("text").mapInArrow(part, "line int, block int, data binary").repartition(C.partitions(docs.sparkSession), "line", "block").sortWithinPartitions("line", "block").mapInArrow(merge, "line int, block int, two binary, hot binary")
     got, step = Sketch(bits), (1 << block) // 8
     for r in merged.toArrow().to_pylist():
-        at = slice(r["block"] * step, (r["block"] + 1) * step)
-        got.two[r["line"]][at] = np.frombuffer(r["two"], np.uint8)
-        got.hot[r["line"]][at] = np.frombuffer(zlib.decompress(r["hot"]), np.uint8)
+        got.two[r["line"]][r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["two"], np.uint8)
+        got.hot[r["line"]] = np.append(got.hot[r["line"]], (r["block"] << block) + np.frombuffer(r["hot"], np.int32).astype(np.int64))
+    got.hot = [np.sort(h) for h in got.hot]
     return got
 
 
@@ -246,15 +257,25 @@ def runs_of(flag: np.ndarray, edge: np.ndarray) -> tuple[list[np.ndarray], list[
     return first, last
 
 
-def covered(rows: DataFrame) -> DataFrame:
-    """(k, spans): all (a, b) of a text, gathered; a text's own, so bounded by it."""
-    return rows.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-
-def union(spans: list, n: int) -> np.ndarray:
-    """Which of n symbols do the spans cover?"""
-    step = np.zeros(n + 1, np.int32)
-    if len(spans):
-        np.add.at(step, [s["a"] for s in spans], 1)
-        np.add.at(step, [s["b"] for s in spans], -1)
+def covered(*rows: DataFrame) -> DataFrame:
+    """(k, spans): all (kind, a, b) of a text, gathered; a text's own, so bounded by
+    it.  kind: which of the tables `rows` a span is from."""
+    tagged = [r.select("k", F.lit(i).alias("kind"), "a", "b") for i, r in enumerate(rows)]
+    both = tagged[0]
+    for more in tagged[1:]:
+        both = both.unionByName(more)
+    return both.groupBy("k").agg(F.collect_list(F.struct("kind", "a", "b")).alias("spans"))
+
+
+def union(spans: pa.ListArray, kind: int, first: np.ndarray) -> np.ndarray:
+    """Which symbols of a chunk of texts do the spans of a kind cover?  first: the
+    n+1 offsets of the texts in the symbols."""
+    many = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    flat = spans.flatten()
+    of, a, b = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("kind", "a", "b"))
+    begin = np.repeat(first[:-1], many)
+    use = of == kind
+    step = np.zeros(first[-1] + 1, np.int32)
+    np.add.at(step, begin[use] + a[use], 1)
+    np.add.at(step, begin[use] + b[use], -1)
     return np.cumsum(step[:-1]) > 0

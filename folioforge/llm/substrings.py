@@ -37,10 +37,11 @@ def _chunk(raw: pa.Array, width: int, gram: int) -> tuple[C.Words, R.Rolling, R.
     return words, rolling, R.units(rolling, words.first, width, gram)
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int = R.SKETCH_BITS, hot: int = R.HOT) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int | None = None, hot: int = R.HOT) -> DataFrame:
     """(k, a, b): spans of words of text k (see repeats.keyed) that lie under
     repeated windows."""
     spark = docs.sparkSession
+    bits = bits or R.sketch_bits(docs, 6 * (width - gram + 2) / 2)
     seen = spark.sparkContext.broadcast(R.sketch(docs, lambda raw: _chunk(raw, width, gram)[2], LIMIT, bits, hot))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +113,10 @@ def remove_windows(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
             words = C.Words(raw)
             data = words.data.tobytes()
             out: list[list] = [[], [], [], []]
-            for i, got in enumerate(rows.column("spans").to_pylist()):
+            lost = R.union(rows.column("spans"), 0, words.first)
+            for i in range(rows.num_rows):
                 a, b = words.first[i], words.first[i + 1]
-                gone = R.union(got or [], b - a)
+                gone = lost[a:b]
                 keep = np.flatnonzero(~gone) + a
                 kept = b" ".join([data[x:y] for x, y in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
                 for column, value in zip(out, (b - a, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):

@@ -115,7 +115,7 @@ def test_word_windows(docs, pairs, hot, bits):
 
 
 @pytest.mark.parametrize(("hot", "bits", "crowd"), [(50_000, 18, 48), (2, 14, 48), (50_000, 18, 1)])
-def test_byte_strings(spark, docs, pairs, hot, bits, crowd, monkeypatch):
+def test_byte_strings(spark, docs, pairs, hot, bits, crowd):
     short = [(d, t[:6000]) for d, t in pairs]
     few = spark.createDataFrame([(d, t, "x") for d, t in short], "doc_id long, text string, k string")
     items = [t.encode() for _, t in short]
@@ -128,7 +128,36 @@ def test_byte_strings(spark, docs, pairs, hot, bits, crowd, monkeypatch):
                 gone[i : i + 400] = True
         opens = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         want.append((d, len(w), int(gone.sum()), opens, hashlib.sha256(np.frombuffer(w, np.uint8)[~gone].tobytes()).hexdigest()))
-    got = suffixes.remove_repeats(few, hot=hot, bits=bits).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    passages = [int(g.sum()) for g in brute_windows([re.findall(WORD, t) for _, t in short], 51)]
+    got = suffixes.remove_repeats(few, hot=hot, bits=bits, crowd=crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_words").collect()
+    assert key(tuple(r) for r in got) == key((*w, p) for w, p in zip(want, passages, strict=True))
+
+
+def without_words(text, gone):
+    """The text without some words, each with the space behind it."""
+    found = list(re.finditer(WORD, text))
+    if not found:
+        return text
+    ends = [m.start() for m in found[1:]] + [len(text)]
+    return text[: found[0].start()] + "".join(text[m.start() : e] for m, e, g in zip(found, ends, gone, strict=True) if not g)
+
+
+@pytest.mark.parametrize(("hot", "crowd"), [(50_000, 48), (2, 48), (50_000, 1)])
+def test_passages(spark, docs, pairs, hot, crowd):
+    """Repeated passages of 51 words under 400 bytes and of 50, at either end, twice
+    in a text, across a text's other words, beside all the awkward texts."""
+    rng = np.random.default_rng(11)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 500, n))
+    just, less, ends = word(51), word(50), word(60)
+    assert len(just) < 250
+    rows = [(100, f"{word(9)}\n{just} {word(30)}"), (101, f"{word(20)} {just.replace(' ', '  ')}"), (102, just), (103, f"{word(5)} {less} {word(5)}"), (104, less), (105, f"{ends} {word(80)} {ends}\t"), (106, f"x {ends[: len(ends) // 2]}")]
+    rows += [(200 + i, f"{word(i % 7 + 1)} {just} {word(70)}") for i in range(60)]
+    rows += pairs
+    df = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, spans string")
+    gone = brute_windows([re.findall(WORD, t) for _, t in rows], 51)
+    assert gone[0].sum() >= 51 and gone[2].sum() == 51 and not gone[3].any() and gone[5].sum() == 120
+    want = [(d, without_words(t, g)) for (d, t), g in zip(rows, gone, strict=True)]
+    got = suffixes.remove_passages(df, hot=hot, crowd=crowd).select("doc_id", "kept").collect()
     assert key(tuple(r) for r in got) == key(want)
 
 
@@ -144,14 +173,10 @@ def test_suffix_family_crowd_equals_pairs():
         texts.setdefault(left + b"ANCH" + right, lead)
     results = []
     for crowd, batch in ((10**6, 200), (1, 200), (1, 7), (10**6, 7)):
-        old, suffixes.CROWD = suffixes.CROWD, crowd
-        try:
-            family, units = suffixes.IndexFamily(width, gram), [suffixes.Unit(t, l, width, b"x" * 12) for t, l in texts.items()]
-            for at in range(0, len(units), batch):
-                family.add([(u.suffix, u) for u in units[at : at + batch]])
-            assert sum(map(len, family.levels)) == len(units)
-        finally:
-            suffixes.CROWD = old
+        family, units = suffixes.IndexFamily(width, gram, crowd=crowd), [suffixes.Unit(t, l, width, b"x" * 12) for t, l in texts.items()]
+        for at in range(0, len(units), batch):
+            family.add([(u.suffix, u) for u in units[at : at + batch]])
+        assert sum(map(len, family.levels)) == len(units)
         results.append([u.flag.tolist() for u in units])
     assert results[0] == results[1] == results[2] == results[3]
     windows = Counter(t[i : i + width] for t in texts for i in range(max(0, len(t) - width + 1)))
@@ -163,7 +188,7 @@ def test_suffix_family_crowd_equals_pairs():
 
 
 def test_repeats_of_nothing(none, spark):
-    for op in (substrings.remove_windows, suffixes.remove_repeats, shingles.similar):
+    for op in (substrings.remove_windows, suffixes.remove_repeats, suffixes.remove_passages, shingles.similar):
         assert op(none).count() == 0
     one = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert substrings.remove_windows(one).first()["kept_sha256"] == hashlib.sha256(b"").hexdigest()
