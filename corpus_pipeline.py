@@ -39,10 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: bytes under 400-byte strings that occur anywhere else too go;
-    broken characters at the cuts go with them."""
-    rows = repeats.keyed(docs, COLUMNS[2:4])
-    out = suffixes.apply_spans(rows, suffixes.repeated_bytes(docs), COLUMNS[2:4])
+    """Operator 3 over words: passages of over 50 words that occur anywhere else too
+    go, each word with the space behind it."""
+    out = suffixes.remove_passages(docs, COLUMNS[2:4])
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
