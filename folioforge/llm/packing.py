@@ -3,12 +3,14 @@
 Only the histogram of piece lengths reaches the driver (at most `capacity` bins,
 whatever the input).  There the configuration LP  min sum x_p  s.t. the patterns
 cover every length's count  is solved by multiplicative weights: each round a
-knapsack dynamic program prices the best pattern under the current weights, and
-lengths that it serves lose weight.  The averaged solution is rounded down within
-the counts that are there; what is left over goes through the program again with
-its own histogram, until rounding yields little, and the rest is placed best-fit
-decreasing, by counts.  Best fit alone is the incumbent: on histograms where rounding
-ends above it (few pieces a length, many over half the capacity), its bins count.
+knapsack dynamic program prices patterns under the current weights (its table gives
+the best one, and others of nearly its value), and lengths that they serve lose
+weight.  The averaged solution is rounded, patterns of the largest values first,
+within the counts that are there; what is left over goes through the program again
+with its own histogram, until nothing is left or a pass no longer fills a sequence.
+The last of the passes whose patterns, with the rest placed best-fit decreasing, make
+the fewest sequences is where rounding stops: so LP patterns carry all that they
+can carry at no more sequences than best fit alone.
 Patterns with multiplicities are then matched with
 ranked pieces by an interval table.
 
@@ -30,8 +32,12 @@ from . import common as C
 from .tokens import END_ID, encoder, vocabulary_path
 
 CAPACITY = 4096
-ROUNDS = 60
-EPSILON = 0.35
+#: Pricing rounds a program; the part of a length's count, and of all tokens, that
+#: the patterns of a round may take; the part of the best value that they must reach.
+ROUNDS = 8
+SHARE = 0.25
+NEAR = 0.998
+EPSILON = 1.4
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -54,35 +60,54 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _price(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """Most valuable multiset of lengths within the capacity (unbounded knapsack).
-    value[l] >= 0, value[0] unused.  Ties go to the longer piece."""
+def _values(value: np.ndarray, count: np.ndarray, capacity: int) -> np.ndarray:
+    """Most value within each room up to the capacity: a knapsack that takes a length
+    as often as it is there (or up to the next 2**k - 1)."""
     best = np.zeros(capacity + 1)
-    pick = np.zeros(capacity + 1, np.int64)
-    lengths = np.flatnonzero(value > 0)
-    worth = value[lengths]
-    for c in range(1, capacity + 1):
-        k = int(np.searchsorted(lengths, c, side="right"))
-        best[c] = best[c - 1]
-        if k:
-            total = best[c - lengths[:k]] + worth[:k]
-            j = k - 1 - int(np.argmax(total[::-1]))
-            if total[j] > best[c]:
-                best[c], pick[c] = total[j], lengths[j]
-    pattern: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if pick[c]:
-            pattern[int(pick[c])] = pattern.get(int(pick[c]), 0) + 1
-            c -= int(pick[c])
-        else:
-            c -= 1
-    return pattern
+    for l in np.flatnonzero(value > 0).tolist():
+        most, times = min(int(count[l]), capacity // l), 1
+        while most > 0 and times * l <= capacity:
+            np.maximum(best[times * l :], best[: capacity + 1 - times * l] + times * value[l], out=best[times * l :])
+            most -= times
+            times *= 2
+    return best
+
+
+def _price(value: np.ndarray, count: np.ndarray, capacity: int, volume: float) -> list[tuple[dict[int, int], int]]:
+    """Patterns with copies, longest pieces first, of NEAR the best value or more, within the
+    counts and (but for the first) a volume; value[0] unused."""
+    best = _values(value, count, capacity)
+    same = np.maximum.accumulate(np.where(np.diff(best, prepend=-1) > 0, np.arange(capacity + 1), 0))  # least room of a value
+    left = count.copy()
+    lengths = np.flatnonzero((value > 0) & (left > 0))[::-1]
+    out: list[tuple[dict[int, int], int]] = []
+    while volume > 0 and len(lengths):
+        room, total, slack, pattern = int(same[capacity]), 0.0, (1 - NEAR) * best[capacity], {}
+        while room > 0:
+            fit = lengths[np.searchsorted(-lengths, -room) :]
+            fit = fit[left[fit] > np.fromiter((pattern.get(l, 0) for l in fit.tolist()), np.int64, len(fit))] if pattern else fit
+            if not len(fit):
+                break
+            loss = best[room] - best[room - fit] - value[fit]
+            l = int(fit[np.argmax(loss <= slack)] if (loss <= slack).any() else fit[np.argmin(loss)])
+            slack -= best[room] - best[room - l] - value[l]
+            pattern[l] = pattern.get(l, 0) + 1
+            total += value[l]
+            room = int(same[room - l])
+        if not pattern or out and total < NEAR * best[capacity]:
+            break
+        copies = min(int(left[l]) // k for l, k in pattern.items())
+        out.append((pattern, copies))
+        for l, k in pattern.items():
+            left[l] -= k * copies
+            volume -= k * copies * l
+        lengths = lengths[left[lengths] > 0]
+    return out
 
 
 def solve_configuration_lp(count: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Fractional patterns covering count[l] pieces of each length l, found by
-    multiplicative weights over the lengths."""
+    """Fractional patterns that cover no more than count[l] pieces of each length l,
+    found by multiplicative weights over the lengths."""
     need = count.astype(float)
     there = need > 0
     share = np.where(there, np.arange(len(count)) * need, 0)
@@ -90,54 +115,48 @@ def solve_configuration_lp(count: np.ndarray, capacity: int, rounds: int = ROUND
     covered = np.zeros(len(count))
     found: dict[tuple, float] = {}
     for _ in range(rounds):
-        pattern = _price(np.where(there, weight / np.maximum(need, 1), 0), capacity)
-        if not pattern:
-            break
-        # as many copies as saturate the scarcest length of the pattern
-        times = min(need[l] / k for l, k in pattern.items())
-        key = tuple(sorted(pattern.items()))
-        found[key] = found.get(key, 0) + times
-        for l, k in pattern.items():
-            gain = k * times / need[l]
-            covered[l] += gain
-            weight[l] *= np.exp(-EPSILON * gain * 4)
-        total = weight.sum()
-        if total <= 1e-300:
-            break
-        weight /= total
+        value = np.where(there, weight / np.maximum(need, 1), 0)
+        for pattern, times in _price(value, np.ceil(need * SHARE).astype(np.int64), capacity, SHARE * share.sum()):
+            key = tuple(sorted(pattern.items()))
+            found[key] = found.get(key, 0) + times
+            for l, k in pattern.items():
+                gain = k * times / need[l]
+                covered[l] += gain
+                weight[l] *= np.exp(-EPSILON * gain)
+        weight /= max(weight.sum(), 1e-300)
     most = max(covered.max(), 1e-9)
     return [(dict(p), x / most) for p, x in found.items()]
 
 
-def plan(count: np.ndarray, capacity: int = CAPACITY, passes: int = 5) -> list[tuple[dict[int, int], int]]:
-    """Whole patterns (lengths with multiplicity, copies) that use every piece
-    of the histogram exactly once."""
+def passes(count: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], list[tuple[dict[int, int], int]]]:
+    """Whole patterns (lengths with multiplicity, copies) that use every piece of the
+    histogram exactly once: those of the programs, and those of the remainder."""
     left = count.astype(np.int64).copy()
     out: list[tuple[dict[int, int], int]] = []
-    if left[capacity]:
-        out.append(({capacity: 1}, int(left[capacity])))
-        left[capacity] = 0
-    for _ in range(passes):
-        before = int((left * np.arange(len(left))).sum())
-        if before < 64 * capacity:
-            break
-        solved = sorted(solve_configuration_lp(left, capacity), key=lambda s: -s[1])
-        used = 0
-        for pattern, x in solved:
+    size = np.arange(len(left))
+    ends = [(0, best_fit(left, capacity))]
+    while left.any():
+        solved = solve_configuration_lp(left, capacity)
+        fill = [sum(l * k for l, k in p.items()) for p, _ in solved]
+        before, most = int((left * size).sum()), max(fill)
+        for f, (pattern, x) in sorted(zip(fill, solved, strict=True), key=lambda s: (-s[1][1], -s[0])):
             copies = min(max(1, int(x)), min(int(left[l]) // k for l, k in pattern.items()))
-            fill = sum(l * k for l, k in pattern.items())
-            if copies > 0 and fill >= 0.998 * capacity:
+            if copies > 0 and f >= NEAR * most:
                 out.append((pattern, copies))
                 for l, k in pattern.items():
                     left[l] -= k * copies
-                used += copies * fill
-        if used < 0.05 * before:
+        ends.append((len(out), best_fit(left, capacity)))
+        if before - int((left * size).sum()) < capacity / 2:
             break
-    out += best_fit(left, capacity)
-    # the bins of plain best fit are an integral solution to start from; rounding
-    # must not end above it
-    start = best_fit(count, capacity)
-    return min(out, start, key=lambda p: sum(c for _, c in p))
+    total = np.concatenate([[0], np.cumsum([c for _, c in out])])
+    at, rest = min(ends, key=lambda e: (int(total[e[0]]) + sum(c for _, c in e[1]), -e[0]))
+    return out[:at], rest
+
+
+def plan(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """passes(), put together."""
+    solved, rest = passes(count, capacity)
+    return solved + rest
 
 
 def best_fit(count: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:

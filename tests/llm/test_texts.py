@@ -87,10 +87,51 @@ def test_plan_uses_every_piece_once(seed):
     assert len(set(zip(slots["length"], slots["rank"], strict=True))) == len(slots["rank"])
 
 
-def test_small_instance_is_optimal():
-    # 3 bins of 10 hold exactly 6+4, 6+4, 5+5; best fit decreasing finds them too
-    count = np.bincount([6, 6, 4, 4, 5, 5], minlength=11)
-    assert sum(c for _, c in packing.plan(count, 10)) == 3
+def fewest(sizes, cap):
+    """Bins of an optimal packing, by search."""
+    sizes, best = sorted(sizes, reverse=True), len(sizes)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= sizes[i]}):
+            at = rooms.index(room)
+            put(i + 1, [*rooms[:at], room - sizes[i], *rooms[at + 1 :]])
+        put(i + 1, [*rooms, cap - sizes[i]])
+
+    put(0, [])
+    return best
+
+
+def test_small_instances_are_optimal():
+    rng = np.random.default_rng(5)
+    over = 0
+    for _ in range(60):
+        cap = int(rng.integers(8, 60))
+        sizes = rng.integers(1, cap + 1, int(rng.integers(1, 11))).tolist()
+        count = np.bincount(sizes, minlength=cap + 1)
+        got, least = sum(c for _, c in packing.plan(count, cap)), fewest(sizes, cap)
+        assert least <= got <= min(least + 1, sum(c for _, c in packing.best_fit(count, cap)))
+        over += got - least
+    assert over <= 1
+
+
+def test_programs_carry_the_packing(spark, sf):
+    """Of the test documents, and of lengths on which best fit is poor."""
+    size = packing.pieces(spark.read.parquet(f"{sf}/documents.parquet"), tokens.vocabulary_path()).groupBy("length").count().collect()
+    real = np.zeros(packing.CAPACITY + 1, np.int64)
+    for r in size:
+        real[r["length"]] = r["count"]
+    dealt = np.bincount(np.random.default_rng(0).integers(600, 1600, 6000), minlength=packing.CAPACITY + 1)
+    for count, less in ((real, 0), (dealt, 10)):
+        solved, rest = packing.passes(count)
+        carried, left = (sum(c for _, c in p) for p in (solved, rest))
+        assert carried >= 0.9 * (carried + left)
+        assert carried + left <= sum(c for _, c in packing.best_fit(count, packing.CAPACITY)) - less
 
 
 def brute_windows(items, width):
