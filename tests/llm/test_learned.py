@@ -108,6 +108,44 @@ def test_dual_coordinate_descent_separates():
     assert ((margin > 0) == (y == 1)).all() and ratio[1] > 0 > ratio[2]
 
 
+def test_dual_coordinate_descent_finds_the_optimum():
+    """Against the dual's projected gradient, run to convergence."""
+    rng = np.random.default_rng(6)
+    y = (rng.random(50) < 0.4).astype(int)
+    rows = [np.unique(rng.integers(0, 40, 9) + 20 * v) for v in y]
+    ratio = quality.log_count_ratio(rows, y)
+    w, b = quality.dual_coordinate_descent(rows, ratio, y, epochs=3000)
+    x = np.zeros((50, 61))
+    for i, f in enumerate(rows):
+        size = np.sqrt((ratio[f] ** 2).sum() + 1)
+        x[i, f], x[i, 60] = ratio[f] / size, 1 / size
+    sign, cap = np.where(y == 1, 1.0, -1.0), np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T
+    a, step = np.zeros(50), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(60_000):
+        a = np.clip(a - step * (q @ a - 1), 0, cap)
+    best = (a * sign) @ x
+    loss = lambda v: (v @ v) / 2 + (cap * np.maximum(0, 1 - sign * (x @ v))).sum()
+    got = np.append(w[:60], b)
+    assert loss(got) <= loss(best) * 1.01 and np.abs(x @ got - x @ best).max() < 0.05
+    # the ratio by its definition
+    p = [1 + sum(f in r for r, v in zip(rows, y, strict=True) if v) for f in range(60)]
+    n = [1 + sum(f in r for r, v in zip(rows, y, strict=True) if not v) for f in range(60)]
+    rest = quality.WIDTH - 60
+    want = np.log(np.array(p) / (sum(p) + rest)) - np.log(np.array(n) / (sum(n) + rest))
+    assert ratio[:60] == pytest.approx(want)
+
+
+def test_many_short_texts_in_little_memory():
+    import tracemalloc
+
+    batch = pa.record_batch({"doc_id": pa.array(range(10_000)), "text": pa.array([f"short text {i}" for i in range(10_000)]), "y": pa.array([i % 2 for i in range(10_000)], pa.int32())})
+    tracemalloc.start()
+    n = sum(b.num_rows for b in quality.featurise([batch]))
+    assert n == 10_000 and tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+
+
 def test_language_awkward_rows(docs, none, pairs):
     model = langid.fit(docs, langid.vocabulary_path())
     got = {(r["doc_id"], r["lang_pred"]): r["score"] for r in langid.predict(docs, model).collect()}
@@ -194,6 +232,28 @@ def test_decontaminate_only_copy_is_edited(spark):
         assert score >= decontaminate.THRESHOLD and got == [(1, score)], name
 
 
+def test_decontaminate_equals_all_alignments(spark, sf):
+    """Every item with every whole text."""
+    tables = [common.table(spark, sf, t) for t in ("documents", "benchmark")]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(*tables).collect()}
+    docs, tests = (t.orderBy(t.columns[0]).collect() for t in tables)
+    items = common.Words(common.text_bytes(pa.array([r["text"] for r in tests])), lower=True, gaps=common.PUNCTUATION)
+    longest = int(items.count.max())
+    codes = np.zeros((len(tests), longest), np.uint64)
+    for i in range(len(tests)):
+        codes[i, : items.count[i]] = items.hash[items.first[i] : items.first[i + 1]] | np.uint64(2)
+    want = {}
+    for r in docs:
+        w = common.Words(common.text_bytes(pa.array([r["text"]])), lower=True, gaps=common.PUNCTUATION)
+        there = np.flatnonzero([len(set(c.tolist()) & set((w.hash | np.uint64(2)).tolist())) >= decontaminate.THRESHOLD * n for c, n in zip(codes, items.count, strict=True)])
+        if len(there) and len(w.hash):
+            best, _ = decontaminate.smith_waterman(codes[there], np.repeat(w.hash[None] | np.uint64(2), len(there), axis=0))
+            for i, score in zip(there, best / (2 * items.count[there]), strict=True):
+                if score >= decontaminate.THRESHOLD and items.count[i]:
+                    want[r["doc_id"], tests[i]["item_id"]] = float(score)
+    assert len(want) > 10 and got == want
+
+
 def test_every_alignment_that_reaches_the_threshold_counts(monkeypatch):
     """Random texts of few words, so that grams are common: as without the filter of
     passages, and with a few hits at a time."""
