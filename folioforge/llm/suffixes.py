@@ -1,6 +1,6 @@
 """Operator 3: repeated strings by a logarithmic family of suffix arrays.
 
-Strings are WIDTH consecutive symbols: bytes, or words (as 64-bit hashes, eight
+Strings are WIDTH consecutive symbols: bytes, or words (as 40-bit hashes, WORD
 bytes a symbol).  A string can only repeat if its anchor does (see repeats).  Texts
 around anchors that may occur twice go to the task of their anchor; equal ones of
 a chunk travel once.  In a task they arrive in batches.  The suffixes that begin at
@@ -34,7 +34,8 @@ from . import repeats as R
 
 WIDTH, GRAM = 400, 64
 #: Passages of over 50 words.
-PASSAGE, PASSAGE_GRAM = 51, 16
+PASSAGE, PASSAGE_GRAM = 51, 8
+WORD = 5
 LIMIT = 1 << 20
 BATCH = 8_192
 #: Units of an anchor from which classes take the place of pairs.
@@ -220,13 +221,14 @@ class Chunk:
     def __init__(self, raw: pa.Array, width: int, gram: int, words: bool):
         if words:
             found = C.Words(raw)
-            self.symbols, self.rows, self.size, data = found.hash, found.first, 8, found.hash
+            self.symbols, self.rows, self.size = found.hash, found.first, WORD
+            data = np.ascontiguousarray(found.hash.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :WORD])
         else:
             data, self.rows = C.flat(raw)
             self.symbols, self.size = C._CODES[data], 1
         self.rolling = R.Rolling(self.symbols)
         self.units = R.units(self.rolling, self.rows, width, gram)
-        self.text = memoryview(data).cast("B")
+        self.text = memoryview(data.reshape(-1)).cast("B")
 
 
 def repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, words: bool = False, bits: int | None = None, hot: int = R.HOT, crowd: int = CROWD) -> DataFrame:
@@ -263,7 +265,7 @@ def repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, words: bool
             yield pa.record_batch({"anchor": pa.array(unit.anchor[first].view(np.int64)), "lead": pa.array(lead, pa.int32()), "part": pa.array(parts, pa.binary()), "occ": pa.array(occ, pa.binary())})
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = Task(width, gram, 8 if words else 1, crowd)
+        task = Task(width, gram, WORD if words else 1, crowd)
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "part", "lead", "occ")), strict=True):
                 task.take(*row)
