@@ -6,6 +6,7 @@ Nulls: a null text is an empty text everywhere in this subpackage.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -25,27 +26,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the
-    session names none (local tests)."""
+    """The folder that driver and executors share.  Only a local master may do
+    without: then it is a temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="folioforge-")
         spark.sparkContext.setCheckpointDir(place)
         place = spark.sparkContext.getCheckpointDir()
     return place.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/folioforge/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/folioforge/{kind}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has stored.  For the end of a job: results
+    of the operators that have not been written yet read from it."""
+    _delete(spark, _own(spark))
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage at files
-    that outlive any executor."""
+    that outlive any executor.  forget() deletes them, or clear()."""
     spark = df.sparkSession
     path = fresh_path(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that stored() returned, after their last reader."""
+    for df in tables:
+        _delete(df.sparkSession, df._stored_at)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -51,10 +51,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("m"))
         large = both.join(low, both.a == low.k).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = C.stored(large, "edges")
+        C.forget(now)
         low = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
         joined = large.join(low, large.a == low.k)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
         now = C.stored(small, "edges")
+        C.forget(large)
         got = sums(now)
         if got == seen:
             break

@@ -218,6 +218,7 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys = ["length", "doc_id", "piece"]
     pieces_df = C.stored(pieces_df, "cut")  # the range sort reads it twice
     ordered = C.stored(pieces_df.repartitionByRange(C.partitions(spark), *keys, "ids_crc32").sortWithinPartitions(*keys, "ids_crc32").withColumn("part", F.spark_partition_id()), "pieces")
+    C.forget(pieces_df)
     per = ordered.groupBy("part", "length").count().collect()
     count = np.zeros(capacity + 1, np.int64)
     base: dict[int, dict[int, int]] = {}

@@ -161,7 +161,9 @@ def frequencies(docs: DataFrame, rule: Rule, one_in: int = COMMON, few: int = FE
     found = C.stored(parts.mapInArrow(merge, "kind int, h long, n long"), "frequent")
     got = found.filter("kind = 1").select("h", "n").toArrow()
     h, n = got["h"].to_numpy(), got["n"].to_numpy()
-    return h[np.lexsort((h, n))], bloom(found.filter("kind = 0").select("h"), bits)
+    some = bloom(found.filter("kind = 0").select("h"), bits)
+    C.forget(found)
+    return h[np.lexsort((h, n))], some
 
 
 def in_order(row: np.ndarray, h: np.ndarray, order: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +264,8 @@ def in_bloom(table: np.ndarray, k: np.ndarray, bits: int = BLOOM_BITS) -> np.nda
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, rule: Rule, wanted: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
-    """(c, n, members) of the wanted(c) classes, from the text of one document each."""
+    """(c, n, members) of the wanted(c) classes, from the text of one document each,
+    stored."""
     keys = classes.join(wanted, "c", "left_semi").select("c", "k", "n")
     keys = C.stored(keys, "wanted")
     sent = docs.sparkSession.sparkContext.broadcast(bloom(keys.select("k"), bits))
@@ -276,7 +279,9 @@ def whole_sets(docs: DataFrame, classes: DataFrame, rule: Rule, wanted: DataFram
                 yield pa.record_batch({"k": rows.column("k"), "members": _lists(h, np.bincount(row, minlength=len(raw)))})
 
     built = R.keyed(docs).select("k", "text").mapInArrow(run, "k long, members array<long>")
-    return built.join(keys, "k").groupBy("c").agg(F.first("n").alias("n"), F.first("members").alias("members"))
+    sets = C.stored(built.join(keys, "k").groupBy("c").agg(F.first("n").alias("n"), F.first("members").alias("members")), "sets")
+    C.forget(keys)
+    return sets
 
 
 def near_runs(postings: DataFrame, rule: Rule) -> DataFrame:
@@ -379,7 +384,10 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFram
     def linked(pairs: DataFrame) -> DataFrame:
         near = C.stored(close_pairs(pairs.distinct(), prefixes, rule, False), "near")
         wanted = near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))).distinct()
-        return C.stored(close_pairs(near, C.stored(whole_sets(docs, classes, rule, wanted), "sets"), rule, True), "links")
+        sets = whole_sets(docs, classes, rule, wanted)
+        links = C.stored(close_pairs(near, sets, rule, True), "links")
+        C.forget(near, sets)
+        return links
 
     star = grouped.filter("c <> head").select(F.least("c", "head").alias("a"), F.greatest("c", "head").alias("b"))
     links = linked(met.filter("b is not null").select("a", "b").unionByName(star))
@@ -393,10 +401,14 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFram
     inner = rooted.join(crowded, "g", "left_semi").select("c", "n", "root", F.lit(0).alias("pos"), F.col("g").alias("token"))
     again = across_runs(tokens.unionByName(inner).withColumn("pos", F.col("pos").cast("long")), rule)
     more = linked(again)
+    C.forget(met, classes, rooted)
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        old, roots = roots, components(links.unionByName(more))
+        C.forget(old)
+    C.forget(links, more)
     named = base.select("doc_id", "k", "n", "c").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = C.stored(named, "named")
+    C.forget(base)
     least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "root", "left")
     return out.select("doc_id", "k", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "root")
