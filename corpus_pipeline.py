@@ -70,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
+    docs, before = C.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = C.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            C.forget(before)
+        before = docs
     return docs
