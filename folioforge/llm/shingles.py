@@ -364,7 +364,9 @@ def by_token(postings: DataFrame, settle, order: list[str], schema: str) -> Data
         if size:
             yield from out(pa.Table.from_batches(held))
 
-    return postings.repartition(C.partitions(postings.sparkSession), "token").sortWithinPartitions(*order).mapInArrow(run, schema)
+    # dealt by a hash of the token: by the token itself, the planner leaves the deal of a
+    # join on it below in its place, and adaptive execution may split a run there
+    return postings.repartition(C.partitions(postings.sparkSession), F.xxhash64("token")).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge.llm import packing, repeats, shingles, substrings, suffixes, tokens
 
@@ -289,6 +290,20 @@ def test_similar_clusters(spark, near, monkeypatch):
     assert key(tuple(r) for r in got) == key(brute_similar(rows, 4, 85, 100))
 
 
+def test_token_runs_have_a_deal_of_their_own(spark):
+    """Adaptive execution may split what a join on the token below has dealt, so the
+    planner must not take that deal for the one of the runs."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(100).select(*(F.col("id").alias(c) for c in ("c", "n", "root", "pos", "token")))
+        joined = rows.join(rows.select("token").distinct(), "token", "left_semi")
+        plan = shingles.across_runs(joined, shingles.Rule(4, 85, 100))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_units_anchor_equal_windows_alike():
     rng = np.random.default_rng(0)
     symbols = rng.integers(0, 4, 4000).astype(np.uint64)
