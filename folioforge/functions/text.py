@@ -22,6 +22,12 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+def title_key(c: Column) -> Column:
+    """Titles that name one document: lower case, runs of space as one, none at the
+    ends.  Other letters than a-z count as they are."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[\x20\x09-\x0D]+", " "))
+
+
 def content_hash(c: Column) -> Column:
     """SHA-256 in lower-case hex of the UTF-8 text."""
     return F.sha2(c.cast("binary"), 256)

@@ -6,7 +6,7 @@ Missing metadata says nothing about content: `find` filters on metadata alone, a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text
@@ -29,6 +29,13 @@ def values(docs: DataFrame, field: str) -> DataFrame:
     return docs.select(F.explode(F.try_element_at("meta", F.lit(field))).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
 
 
+def ranked(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds rank, from 1: values of the largest count first, then in order, within
+    the columns `by` (all values of one field where there are none)."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "value"))
+    return counts.withColumn("rank", rank.cast("long"))
+
+
 def all_values(docs: DataFrame) -> DataFrame:
     """(field, value, n) of every field, in one pass."""
     each = docs.select(F.explode("meta").alias("field", "list")).select("field", F.explode("list").alias("value"))

@@ -77,6 +77,25 @@ def next_steps(books: DataFrame, has_key: Column) -> DataFrame:
     return books.select("slug", F.posexplode(steps).alias("step", "command")).select("slug", (F.col("step") + 1).cast("long").alias("step"), "command")
 
 
+def ingest(docs: DataFrame, seen: DataFrame, plan: Callable[[DataFrame], DataFrame], mode: str = "no", votes: dict[str, list[str]] | None = None, rules: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """One run over (slug, text, ...): hash, skip what `seen` (slug, source_hash) has,
+    plan sections, enrich, next steps.  plan(books) gives (slug, ord, heading, ...).
+
+    Only the modes text-only and all classify, summarise and tag here (books get
+    system, summary, tags); in the others these stay among the next steps.  Steps
+    that index follow in any mode.  Tables: books, sections, next_steps, state (what
+    the next run is to skip)."""
+    if mode not in LLM_MODES:
+        raise ValueError(f"mode not among {', '.join(LLM_MODES)}: {mode}")
+    books = changed(hashed(docs), seen)
+    enriched = mode in ("text-only", "all")
+    if enriched:
+        body = F.col("text")
+        books = books.withColumns({"system": classify(body, votes or {}), "summary": summarise(body), "tags": tag(body, rules or {})}) if votes and rules else books.withColumn("summary", summarise(body))
+    state = seen.select("slug", "source_hash").unionByName(books.select("slug", "source_hash")).distinct()
+    return {"books": books, "sections": plan(books), "next_steps": next_steps(books, F.lit(not enriched)), "state": state}
+
+
 def missing_vectors(docs: DataFrame, vectors: DataFrame, key: str, vector_key: str) -> DataFrame:
     """Documents that have no vector yet."""
     return docs.join(vectors.select(F.col(vector_key).alias(key)), key, "left_anti")

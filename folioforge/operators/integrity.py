@@ -37,10 +37,10 @@ def wikilink_edges(docs: DataFrame) -> DataFrame:
 
 
 def resolved(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """(src, target, dst): dst is the document with that title, any case; null: a
-    stub is wanted.  Of several with a title the first path counts."""
-    by_title = docs.groupBy(text.slug(F.col("title")).alias("_s")).agg(F.min("path").alias("dst"))
-    return edges.withColumn("_s", text.slug(F.col("target"))).join(by_title, "_s", "left").select("src", "target", "dst")
+    """(src, target, dst): dst is the document with that title, any case and spacing;
+    null: a stub is wanted.  Of several with a title the first path counts."""
+    by_title = docs.groupBy(text.title_key(F.col("title")).alias("_s")).agg(F.min("path").alias("dst"))
+    return edges.withColumn("_s", text.title_key(F.col("target"))).join(by_title, "_s", "left").select("src", "target", "dst")
 
 
 def href_edges(pages: DataFrame, key: str = "page_id") -> DataFrame:

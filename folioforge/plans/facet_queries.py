@@ -35,6 +35,10 @@ def facet_values(spark, sf_dir):
     return facets.values(_event_docs(spark, sf_dir), "k")
 
 
+def facet_values_ranked(spark, sf_dir):
+    return facets.ranked(facets.all_values(_part_docs(spark, sf_dir)), ("field",))
+
+
 def facet_values_eav(spark, sf_dir):
     return facets.all_values(_part_docs(spark, sf_dir))
 
@@ -127,7 +131,7 @@ def slug_hash_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.asset_name(F.concat_ws(" ", "p_name", "p_brand"), F.col("p_name"), 12, ".png").alias("file"))
 
 
-QUERIES = {f.__name__: f for f in (facet_fields, facet_values, facet_values_eav, find_exists_missing, find_equals_contains, find_matches, find_gte, find_lte, inspect_preview, default_exclude_optin, entity_item, entity_range, ruleset_preference, canonical_then_fallback, fallback_when_empty, entity_render, importer_contract, topk_per_group, slug_hash_name)}
+QUERIES = {f.__name__: f for f in (facet_fields, facet_values, facet_values_eav, facet_values_ranked, find_exists_missing, find_equals_contains, find_matches, find_gte, find_lte, inspect_preview, default_exclude_optin, entity_item, entity_range, ruleset_preference, canonical_then_fallback, fallback_when_empty, entity_render, importer_contract, topk_per_group, slug_hash_name)}
 
 _ITEMS = "(SELECT p_partkey AS id, p_name AS name, p_brand AS source, p_type AS kind, p_size AS rating, p_retailprice AS price FROM part)"
 
@@ -150,6 +154,10 @@ ORACLE_SQL = {
   SELECT 'p_brand' AS field, p_brand AS value FROM part
   UNION ALL SELECT 'p_type', p_type FROM part
   UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR) FROM part) WHERE value IS NOT NULL GROUP BY field, value""",
+    "facet_values_ranked": """SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS rank FROM (SELECT field, value, count(*) AS n FROM (
+  SELECT 'p_brand' AS field, p_brand AS value FROM part
+  UNION ALL SELECT 'p_type', p_type FROM part
+  UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR) FROM part) WHERE value IS NOT NULL GROUP BY field, value)""",
     "find_exists_missing": "SELECT d.doc_id, l.quality IS NOT NULL AS has_quality, l.quality IS NULL AS lacks_quality FROM documents d LEFT JOIN labels l USING (doc_id)",
     "find_equals_contains": "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#12' AND contains(p_name, 're')",
     "find_matches": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\p{L}])[Éé]')",

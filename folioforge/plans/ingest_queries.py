@@ -76,8 +76,8 @@ def link_edges(spark, sf_dir):
 
 def link_resolution(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    docs = pages.select(F.col("url").alias("path"), F.regexp_extract("url", "[^/]*$", 0).alias("title"))
-    edges = pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("target")).distinct()
+    docs = pages.select(F.col("url").alias("path"), F.regexp_extract("html", "<title>([^<., ]*)", 1).alias("title"))
+    edges = pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('<a href="/?([^"]*)"'), F.lit(1))).alias("target")).distinct()
     return integrity.resolved(edges, docs)
 
 
@@ -165,7 +165,17 @@ def yaml_header_parse(spark, sf_dir):
     return made.select("p_partkey", meta.alias("meta"), headers.body_text(F.col("value")).alias("body")).select("p_partkey", F.col("meta")["name"][0].alias("name"), F.array_join(F.col("meta")["tags"], ",").alias("tags"), F.col("meta")["size"][0].alias("size"), "body")
 
 
-QUERIES = {f.__name__: f for f in (hash_dedupe, ingest_skip_unchanged, tag_override, classify_and_tag, next_steps, section_plan, section_blocks, section_spans, book_overview, validate_sections, link_edges, link_resolution, drift_report, drift_rows, mirror_changes, pin_status, cleanup_inventory, write_boundary, index_status, index_update, embed_pending, doctor_report, claims_unsupported, canvas_boards, events_tumbling, yaml_header_parse)}
+def ingest_run(spark, sf_dir):
+    """Pages as books, those under an address with parameters ingested before."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("slug"), F.col("html").alias("text"), "url")
+    seen = ingest.hashed(pages.filter(F.col("url").contains("?"))).select("slug", "source_hash")
+    run = ingest.ingest(pages, seen, lambda books: sections.html_plan(books.withColumnRenamed("text", "html"), "slug"))
+    n = run["sections"].groupBy("slug").agg(F.count("*").alias("n_sections"))
+    steps = run["next_steps"].groupBy("slug").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "command"))), lambda s: s["command"]), ",").alias("steps"))
+    return run["books"].select("slug", "source_hash").join(n, "slug", "left").join(steps, "slug").select("slug", "source_hash", F.coalesce("n_sections", F.lit(0)).alias("n_sections"), "steps")
+
+
+QUERIES = {f.__name__: f for f in (ingest_run, hash_dedupe, ingest_skip_unchanged, tag_override, classify_and_tag, next_steps, section_plan, section_blocks, section_spans, book_overview, validate_sections, link_edges, link_resolution, drift_report, drift_rows, mirror_changes, pin_status, cleanup_inventory, write_boundary, index_status, index_update, embed_pending, doctor_report, claims_unsupported, canvas_boards, events_tumbling, yaml_header_parse)}
 
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
@@ -204,9 +214,11 @@ SELECT page_id, ord, kind, length(text) AS chars, last_value(CASE WHEN kind = 'h
 g AS (SELECT page_id, count(*) AS n, min(ord) AS lo, max(ord) AS hi, count(DISTINCT ord) AS d, count(*) FILTER (coalesce(trim(heading), '') = '') AS bare FROM br GROUP BY 1)
 SELECT page_id, 'ordinals' AS fault FROM g WHERE lo <> 1 OR hi <> n OR d <> n UNION ALL SELECT page_id, 'heading' FROM g WHERE bare > 0""",
     "link_edges": """SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages) GROUP BY 1, 2""",
-    "link_resolution": r"""WITH e AS (SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages),
-t AS (SELECT regexp_replace(regexp_replace(lower(regexp_extract(url, '[^/]*$')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS s, min(url) AS dst FROM pages GROUP BY 1)
-SELECT src, target, dst FROM e LEFT JOIN t ON regexp_replace(regexp_replace(lower(target), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') = t.s""",
+    "ingest_run": f"""WITH {_PLAN} SELECT page_id AS slug, sha256(html) AS source_hash, coalesce(n, 0) AS n_sections, 'classify-system,summarize,tag,index-update,index-embed' AS steps
+FROM pages LEFT JOIN (SELECT page_id, count(*) AS n FROM plan GROUP BY 1) USING (page_id) WHERE NOT contains(url, '?')""",
+    "link_resolution": r"""WITH e AS (SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, '<a href="/?([^"]*)"', 1)) AS target FROM pages),
+t AS (SELECT trim(regexp_replace(lower(regexp_extract(html, '<title>([^<., ]*)', 1)), '[\x20\x09-\x0D]+', ' ', 'g')) AS s, min(url) AS dst FROM pages GROUP BY 1)
+SELECT src, target, dst FROM e LEFT JOIN t ON trim(regexp_replace(lower(target), '[\x20\x09-\x0D]+', ' ', 'g')) = t.s""",
     "drift_report": "SELECT doc_id, CASE lang WHEN 'fr' THEN 'extra' WHEN 'es' THEN 'missing' ELSE 'changed' END AS state FROM documents WHERE lang IN ('fr', 'es', 'de')",
     "drift_rows": """WITH a AS (SELECT lang, source FROM documents WHERE lang <> 'fr'), b AS (SELECT lang, source FROM documents WHERE source <> 'src3')
 SELECT lang, source, side, count(*) AS n FROM (SELECT *, 'generated' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'canonical' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY ALL""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import text
@@ -12,7 +12,10 @@ OUTPUTS = ("summary", "json", "markdown")
 
 def write_book(sections: DataFrame, overviews: DataFrame, out: str) -> None:
     """Chapters and overviews, a folder a slug; a slug that is written again
-    replaces its own folder only."""
+    replaces its own folder only.  Two books of one slug are refused."""
+    twice = overviews.groupBy("slug").count().filter("count > 1").select("slug").first()
+    if twice:
+        raise ValueError(f"two books have the slug {twice['slug']}")
     options = {"partitionOverwriteMode": "dynamic"}
     sections.repartition("slug").sortWithinPartitions("slug", "ord").write.mode("overwrite").options(**options).partitionBy("slug").parquet(f"{out}/chapters")
     overviews.write.mode("overwrite").options(**options).partitionBy("slug").parquet(f"{out}/overview")
@@ -32,9 +35,25 @@ def asset_rows(assets: DataFrame, root: str, allowed: tuple[str, ...] = ("model"
     return assets.filter(text.inside(F.col("folder"), root)).select(F.concat("folder", F.lit("/"), name, F.lit(".png")).alias("file"), F.concat("folder", F.lit("/"), name, F.lit(".md")).alias("note"), "prompt", "params", keep.alias("response"))
 
 
-def copy_one(doc: DataFrame, destination: str) -> None:
-    """One document to a place that the caller chose."""
-    doc.select(F.col("body").alias("value")).coalesce(1).write.mode("errorifexists").text(destination)
+def copy_one(spark: SparkSession, source: str, destination: str) -> None:
+    """One file, byte for byte, to a place that the caller chose and that is free."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = hadoop.Path(source), hadoop.Path(destination)
+    to = b.getFileSystem(conf)
+    if to.exists(b):
+        raise FileExistsError(destination)
+    hadoop.FileUtil.copy(a.getFileSystem(conf), a, to, b, False, False, conf)
+
+
+def book_markdown(sections: DataFrame, title: str = "slug") -> DataFrame:
+    """(slug, file, text): the Markdown files of each book, an overview
+    `__<slug>.md` and a chapter a section, from (slug, ord, heading, body)."""
+    chapter = F.concat(F.lpad(F.col("ord").cast("string"), 3, "0"), F.lit("-"), text.slug(F.col("heading")), F.lit(".md"))
+    chapters = sections.select("slug", chapter.alias("file"), F.concat(F.lit("# "), F.col("heading"), F.lit("\n\n"), F.coalesce("body", F.lit("")), F.lit("\n")).alias("text"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "heading"))), lambda s: F.concat(s["ord"].cast("string"), F.lit(". "), s["heading"]))
+    overview = sections.groupBy("slug").agg(F.first(title).alias("name"), lines.alias("lines"))
+    body = F.concat(F.lit("# "), F.col("name"), F.lit("\n\n"), F.array_join("lines", "\n"), F.lit("\n"))
+    return overview.select("slug", F.concat(F.lit("__"), F.col("slug"), F.lit(".md")).alias("file"), body.alias("text")).unionByName(chapters)
 
 
 def machine(df: DataFrame) -> DataFrame:

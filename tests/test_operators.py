@@ -179,8 +179,12 @@ def test_sources_and_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.write_book(plan, plan.select("slug", "heading"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/chapters")).count() == 1
-    sinks.copy_one(docs.filter("title = 'ogre'"), str(tmp_path / "copy"))
-    assert spark.read.text(str(tmp_path / "copy")).first()[0] == "Ogre text without a header"
+    with pytest.raises(ValueError, match="two books"):
+        sinks.write_book(plan, plan.unionByName(plan).select("slug", "heading"), str(tmp_path / "out"))
+    sinks.copy_one(spark, str(notes / "goblin.md"), str(tmp_path / "copy.md"))
+    assert (tmp_path / "copy.md").read_bytes() == (notes / "goblin.md").read_bytes()
+    with pytest.raises(FileExistsError):
+        sinks.copy_one(spark, str(notes / "ogre.md"), str(tmp_path / "copy.md"))
     (tmp_path / "x.pdf").write_bytes(b"%PDF")
     assert readers.binaries(spark, str(tmp_path)).first()["slug"] == "x"
 
@@ -215,3 +219,33 @@ def test_streaming_matches_batch(spark, sf, tmp_path):
         stream.ingest_stream(stream.read(spark, str(tmp_path / "docs"), docs.schema), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "store")).count() == 2
     assert stream.sessions(batch).agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_titles_in_any_script(spark):
+    docs = spark.createDataFrame([("a", "東京"), ("b", "Été"), ("c", "Goblin  Boss"), ("d", "goblin boss")], "path string, title string")
+    edges = spark.createDataFrame([("x", "京都"), ("x", "大阪"), ("x", "東京"), ("x", "àt"), ("x", "été"), ("x", " goblin BOSS ")], "src string, target string")
+    got = {r["target"]: r["dst"] for r in integrity.resolved(edges, docs).collect()}
+    assert got == {"京都": None, "大阪": None, "東京": "a", "àt": None, "été": "b", " goblin BOSS ": "c"}
+
+
+def test_book_markdown(spark):
+    parts = spark.createDataFrame([("my-book", 2, "Two Ways", None), ("my-book", 1, "One", "text")], "slug string, ord int, heading string, body string")
+    got = {r["file"]: r["text"] for r in sinks.book_markdown(parts).collect()}
+    assert got == {"__my-book.md": "# my-book\n\n1. One\n2. Two Ways\n", "001-one.md": "# One\n\ntext\n", "002-two-ways.md": "# Two Ways\n\n\n"}
+
+
+def test_ingest_as_a_whole(spark):
+    docs = spark.createDataFrame([("a", "the and\nmore licensed"), ("b", "der die"), ("c", None)], "slug string, text string")
+    seen = ingest.hashed(docs.filter("slug = 'b'")).select("slug", "source_hash")
+    plan = lambda books: books.select("slug", F.lit(1).alias("ord"), F.lit("Whole").alias("heading"))
+    run = ingest.ingest(docs, seen, plan)
+    assert sorted(r["slug"] for r in run["books"].collect()) == ["a", "c"] and run["sections"].count() == 2
+    assert [r["command"] for r in run["next_steps"].filter("slug = 'a'").orderBy("step").collect()] == list(ingest.STEPS)
+    again = ingest.ingest(docs, run["state"], plan)
+    assert all(t.count() == 0 for k, t in again.items() if k != "state")
+    full = ingest.ingest(docs, seen, plan, "all", {"en": ["the"], "de": ["der"]}, {"legal": ["licensed"]})
+    book = full["books"].filter("slug = 'a'").first()
+    assert (book["system"], book["summary"], book["tags"]) == ("en", "the and", ["legal"])
+    assert [r["command"] for r in full["next_steps"].filter("slug = 'a'").orderBy("step").collect()] == ["index-update", "index-embed"]
+    with pytest.raises(ValueError, match="mode"):
+        ingest.ingest(docs, seen, plan, "some")
