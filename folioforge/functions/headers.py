@@ -34,7 +34,7 @@ def _field_values(text: str | None) -> dict | None:
     if text is None:
         return None
     try:
-        got = yaml.safe_load(text)
+        got = yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except yaml.YAMLError:
         return None
     if not isinstance(got, dict):
@@ -47,4 +47,5 @@ def parse_header(text: pd.Series) -> pd.Series:
     """Full YAML to field -> values.  Spark has no YAML expression, so Arrow batches
     go through Python.  Null or broken headers give null, headers that are not a
     mapping an empty map; scalars become one value, booleans true/false."""
-    return text.map(_field_values)
+    known = {t: _field_values(t) for t in text.dropna().unique()}  # each distinct header of a batch once
+    return text.map(lambda t: known.get(t))
