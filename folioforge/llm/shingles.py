@@ -16,7 +16,8 @@ of the first n - ceil(t n) + 1 shingles.
    already), then verified on the whole sets; links join components.
 4. Runs that step 2 could not pair wholly (longer than NEAR, or holding groups of
    several classes) are met again class by class, now only across components;
-   pairs are filtered and verified as before.  So no link that joins two components
+   pairs are filtered and verified as before.  Runs within one component are left
+   out; those of over RUN rows are cut into cells.  So no link that joins two components
    is lost, and a large group of near-copies costs a few pairs a class, not all.
 
 Sets are never gathered by shingle: only classes in pairs that passed the prefix
@@ -48,6 +49,7 @@ NEAR = 8
 BLOOM_BITS = 26
 LIMIT = 2 << 20
 WORK = 500_000
+RUN = 20_000  # rows of a side of a run
 _TOP = 1 << 62
 _SOME = 1 << 61
 
@@ -308,36 +310,66 @@ def near_runs(postings: DataFrame, rule: Rule) -> DataFrame:
         open_ = token[start][(size > NEAR + 1) | ((many > 0) & (size > 1))]
         return pa.record_batch({"token": pa.array(np.concatenate([np.zeros(len(a), np.int64), open_])), "a": pa.array([*a.tolist(), *[None] * len(open_)], pa.int64()), "b": pa.array([*b.tolist(), *[None] * len(open_)], pa.int64())})
 
-    return by_token(postings, settle, ["token", "n", "c"], "token long, a long, b long")
+    # a part of a run is longer than NEAR + 1, so its token is open
+    return by_token(postings, settle, ["token", "n", "c"], "token long, a long, b long", overlap=NEAR)
+
+
+def in_cells(postings: DataFrame, run: int | None = None) -> DataFrame:
+    """Step 4's rows (token, n, pos, c, root) with (side, cell), without the tokens of
+    one root.  Runs of over `run` rows are cut by a hash of c into sides of about that
+    many, and each two sides meet in a cell, so any two rows still meet, in one cell
+    at least; shorter runs are one cell."""
+    postings = C.stored(postings, "postings")
+    tokens = postings.groupBy("token").agg(F.count("*").alias("_m"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    sides = tokens.filter("_low <> _high").select("token", F.ceil(F.col("_m") / (run or RUN)).cast("long").alias("_sides"))
+    rows = postings.join(sides, "token").withColumn("side", F.pmod(F.xxhash64("c"), F.col("_sides")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_sides") - 1)))
+    cell = F.least("side", "_other") * F.col("_sides") + F.greatest("side", "_other")
+    out = C.stored(rows.select("token", "n", "pos", "c", "root", "side", cell.alias("cell")), "cells")
+    C.forget(postings)
+    return out
 
 
-def across_runs(postings: DataFrame, rule: Rule) -> DataFrame:
-    """Step 4 over (token, n, pos, c, root): pairs of classes of unlike root."""
+def across_runs(cells: DataFrame, rule: Rule) -> DataFrame:
+    """Step 4 over in_cells(): pairs of classes of unlike root."""
 
     def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, n, pos, c, root = (rows[x].to_numpy() for x in ("token", "n", "pos", "c", "root"))
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        token, cell, n, pos, c, root, side = (rows[x].to_numpy() for x in ("token", "cell", "n", "pos", "c", "root", "side"))
+        start = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]))
         end = np.append(start[1:], len(token))
+        two = np.minimum.reduceat(side, start) != np.maximum.reduceat(side, start)
         low, high = np.minimum.reduceat(root, start), np.maximum.reduceat(root, start)
-        found = []
-        for s, e in zip(start[low != high].tolist(), end[low != high].tolist(), strict=True):
+        found, many = [], 0
+
+        def out() -> pa.RecordBatch:
+            pair = np.unique(np.concatenate(found), axis=0)
+            return pa.record_batch({"a": pair[:, 0].copy(), "b": pair[:, 1].copy()})
+
+        for s, e, halves in zip(start[low != high].tolist(), end[low != high].tolist(), two[low != high].tolist(), strict=True):
             for i in range(s, e - 1):
                 # sizes ascend: only as far as the size filter reaches
                 to = s + int(np.searchsorted(n[s:e], n[i] * rule.den // rule.num, side="right"))
                 j = np.arange(i + 1, to)
                 j = j[root[j] != root[i]]
+                if halves:  # rows of one side meet in a cell of their own
+                    j = j[side[j] != side[i]]
                 j = j[pos[i] + pos[j] <= rule.apart(n[j], n[i])]
                 if len(j):
                     found.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], axis=1))
+                    many += len(j)
+                if many >= WORK:
+                    yield out()
+                    found, many = [], 0
         if found:
-            pair = np.unique(np.concatenate(found), axis=0)
-            yield pa.record_batch({"a": pair[:, 0].copy(), "b": pair[:, 1].copy()})
+            yield out()
 
-    return by_token(postings, settle, ["token", "n", "c"], "a long, b long")
+    return by_token(cells, settle, ["token", "cell", "n", "c"], "a long, b long", ("token", "cell"))
 
 
-def by_token(postings: DataFrame, settle, order: list[str], schema: str) -> DataFrame:
-    """Runs `settle` over tables of complete token runs, some 50,000 rows each."""
+def by_token(postings: DataFrame, settle, order: list[str], schema: str, key: tuple[str, ...] = ("token",), overlap: int = 0) -> DataFrame:
+    """Runs `settle` over tables of complete runs of equal token, or of another key
+    that `order` begins with, some 50,000 rows each.  With an overlap, longer runs come
+    in parts, the last `overlap` rows of one again in the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -355,9 +387,15 @@ def by_token(postings: DataFrame, settle, order: list[str], schema: str) -> Data
             if size < 50_000:
                 continue
             rows = pa.Table.from_batches(held)
-            token = rows["token"].to_numpy()
-            n = int(np.searchsorted(token, token[-1]))
-            if n:
+            last = np.ones(len(rows), bool)
+            for name in key:
+                value = rows[name].to_numpy()
+                last &= value == value[-1]
+            n = int(np.argmax(last))  # the open run's first row
+            if overlap and not n:
+                yield from out(rows)
+                n = len(rows) - overlap
+            elif n:
                 yield from out(rows.slice(0, n))
             held = rows.slice(n).combine_chunks().to_batches()
             size -= n
@@ -366,7 +404,7 @@ def by_token(postings: DataFrame, settle, order: list[str], schema: str) -> Data
 
     # dealt by a hash of the token: by the token itself, the planner leaves the deal of a
     # join on it below in its place, and adaptive execution may split a run there
-    return postings.repartition(C.partitions(postings.sparkSession), F.xxhash64("token")).sortWithinPartitions(*order).mapInArrow(run, schema)
+    return postings.repartition(C.partitions(postings.sparkSession), F.xxhash64(*key)).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -401,9 +439,11 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFram
     tokens = rooted.select("c", "n", "root", F.posexplode("prefix").alias("pos", "token")).join(met.filter("b is null").select("token").distinct(), "token", "left_semi")
     crowded = rooted.groupBy("g").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("m > 2 and low <> high").select("g")
     inner = rooted.join(crowded, "g", "left_semi").select("c", "n", "root", F.lit(0).alias("pos"), F.col("g").alias("token"))
-    again = across_runs(tokens.unionByName(inner).withColumn("pos", F.col("pos").cast("long")), rule)
+    cells = in_cells(tokens.unionByName(inner).withColumn("pos", F.col("pos").cast("long")))
+    again = C.stored(across_runs(cells, rule), "again")
+    C.forget(met, cells)
     more = linked(again)
-    C.forget(met, classes, rooted)
+    C.forget(again, classes, rooted)
     if not more.isEmpty():
         old, roots = roots, components(links.unionByName(more))
         C.forget(old)

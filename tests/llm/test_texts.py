@@ -269,10 +269,11 @@ def test_similar(docs, pairs, k, num, den):
     assert key(tuple(r) for r in got) == key(brute_similar(pairs, k, num, den))
 
 
-@pytest.mark.parametrize("near", [1, 8])
-def test_similar_clusters(spark, near, monkeypatch):
+@pytest.mark.parametrize(("near", "run"), [(1, 3), (1, 20_000), (8, 20_000)])
+def test_similar_clusters(spark, near, run, monkeypatch):
     """Groups of near-copies, each with its own edits, and passages in common."""
     monkeypatch.setattr(shingles, "NEAR", near)
+    monkeypatch.setattr(shingles, "RUN", run)
     rng = np.random.default_rng(near)
     vocabulary = [f"v{i}" for i in range(60)]
     rows = []
@@ -290,15 +291,34 @@ def test_similar_clusters(spark, near, monkeypatch):
     assert key(tuple(r) for r in got) == key(brute_similar(rows, 4, 85, 100))
 
 
+def test_long_runs_meet_in_cells(spark):
+    """Every two rows of a run meet, runs within one root are left out."""
+    rows = spark.range(300).select((F.col("id") % 3).alias("token"), F.lit(90).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"), F.col("id").alias("c"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("long").alias("root"))
+    cells = shingles.in_cells(rows, 13)
+    assert cells.select("token").distinct().count() == 2
+    assert cells.groupBy("token", "cell").count().agg(F.max("count")).first()[0] < 60
+    got = {tuple(r) for r in shingles.across_runs(cells, shingles.Rule(4, 85, 100)).collect()}
+    assert got == {(i, j) for i in range(300) for j in range(i + 3, 300, 3) if i % 3}
+
+
+def test_runs_in_parts(spark):
+    """A run of over 50,000 rows is paired as one of fewer is, and is open."""
+    rows = spark.range(120_000).select(F.lit(5).cast("long").alias("token"), F.lit(90).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"), F.col("id").alias("c"), F.lit(False).alias("many"))
+    got = shingles.near_runs(rows, shingles.Rule(4, 85, 100)).distinct()
+    assert [r["token"] for r in got.filter("b is null").collect()] == [5]
+    pairs = got.filter("b is not null")
+    assert pairs.count() == sum(120_000 - d for d in range(1, shingles.NEAR + 1)) and pairs.agg(F.max(F.col("b") - F.col("a"))).first()[0] == shingles.NEAR
+
+
 def test_token_runs_have_a_deal_of_their_own(spark):
     """Adaptive execution may split what a join on the token below has dealt, so the
     planner must not take that deal for the one of the runs."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        rows = spark.range(100).select(*(F.col("id").alias(c) for c in ("c", "n", "root", "pos", "token")))
+        rows = spark.range(100).select(*(F.col("id").alias(c) for c in ("c", "n", "pos", "token")), F.lit(True).alias("many"))
         joined = rows.join(rows.select("token").distinct(), "token", "left_semi")
-        plan = shingles.across_runs(joined, shingles.Rule(4, 85, 100))._jdf.queryExecution().executedPlan().toString()
+        plan = shingles.near_runs(joined, shingles.Rule(4, 85, 100))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan
