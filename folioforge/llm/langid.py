@@ -7,8 +7,9 @@ are fitted by expectation-maximisation (forward-backward expected counts) on a
 sample of at most SAMPLE_DOCS documents of each language outside the held-out
 fold.  A character that no piece covers has the floor probability of a piece.
 
-Words are maximal runs of letters, lowered, opened by the vocabulary's word mark;
-runs over LONGEST letters are cut into such lengths, only the first is marked.
+Words are maximal runs of letters, lowered, opened by the vocabulary's word mark, and
+are never cut: sums are kept in proportion to those of the prefixes just before, so
+words of any length neither underflow nor need more than their arcs and sums.
 
 Defined results: null, empty or letterless text gives `und` and score 0; equal
 likelihoods go to the alphabetically first language; null languages and null ids
@@ -31,12 +32,10 @@ from . import common as C
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_DOCS = 400
 ROUNDS = 3
-LONGEST = 24
-PIECE = 8  # longest piece used, in characters
 FLOOR = 1e-7
 UNDETERMINED = "und"
 CACHED_WORDS = 400_000
-BLOCK = 10_000
+BLOCK = 240_000  # characters of words of one length worked on at a time, one word at least
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -62,12 +61,13 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         # the word mark U+2581 stands for the opening of a word
-        kept = sorted({p for p in (model.id_to_piece(i) for i in range(model.get_piece_size())) if 0 < len(p) <= PIECE and p == p.lower() and all(c.isalpha() for c in p.removeprefix("▁")) and p != "▁"})
+        kept = sorted({p for p in (model.id_to_piece(i) for i in range(model.get_piece_size())) if p and p == p.lower() and all(c.isalpha() for c in p.removeprefix("▁")) and p != "▁"})
         by_hash = sorted((int(_hash(np.array([[ord(c) for c in p]], np.uint32))[0, -1]), k) for k, p in enumerate(kept))
         self.hash = np.array([h for h, _ in by_hash], np.uint64)
         self.index = np.array([k for _, k in by_hash], np.int32)
         self.length = np.array([len(p) for p in kept])
         self.size = len(kept)
+        self.longest = int(self.length.max())
         # a direct table of the top bits narrows the search
         self.top = np.uint64(64 - 16)
         self.slot = np.searchsorted(self.hash >> self.top, np.arange((1 << 16) + 1, dtype=np.uint64))
@@ -83,19 +83,18 @@ class Pieces:
             out[hit] = self.index[k[hit]]
         return out
 
-    def arcs(self, codes: np.ndarray) -> list[list[np.ndarray]]:
+    def arcs(self, codes: np.ndarray) -> list[np.ndarray]:
         """For words of equal length: arcs[e][l-1] is the piece that ends at e
         with l characters, for each word; size = unknown single character,
         size + 1 = no arc."""
         h, n = _hash(codes), codes.shape[1]
-        power = C.powers(int(_STEP), PIECE + 1)
-        out: list[list[np.ndarray]] = [[]]
+        power = C.powers(int(_STEP), self.longest + 1)
+        out = [np.zeros((0, len(codes)), np.int32)]
         for e in range(1, n + 1):
-            row = []
-            for l in range(1, min(e, PIECE) + 1):
-                got = self.find(h[:, e] - h[:, e - l] * power[l])
-                row.append(np.where(got >= 0, got, self.size if l == 1 else self.size + 1))
-            out.append(row)
+            l = np.arange(1, min(e, self.longest) + 1)
+            got = self.find(h[:, e] - h[:, e - l].T * power[l][:, None])
+            unknown = np.where(l == 1, self.size, self.size + 1)[:, None]
+            out.append(np.where(got >= 0, got, unknown).astype(np.int32))
         return out
 
 
@@ -121,15 +120,8 @@ def letter_words(raw: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return rows, words.dictionary, np.asarray(words.indices, np.int64)
 
 
-def runs(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words as marked runs of bounded length, and the word of each run."""
-    out, of = [], []
-    for i, w in enumerate(words):
-        w = "▁" + w
-        for at in range(0, len(w), LONGEST):
-            out.append(w[at : at + LONGEST])
-            of.append(i)
-    return out, np.array(of, np.int64)
+def marked(words: list[str]) -> list[str]:
+    return ["▁" + w for w in words]
 
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -137,21 +129,24 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size = np.fromiter((len(w) for w in words), np.int64, len(words))
     for n in np.unique(size):
         where = np.flatnonzero(size == n)
-        for at in range(0, len(where), BLOCK):
-            part = where[at : at + BLOCK]
+        step = max(1, BLOCK // int(n))
+        for at in range(0, len(where), step):
+            part = where[at : at + step]
             yield part, np.array([words[i] for i in part], f"<U{n}").view(np.uint32).reshape(len(part), n)
 
 
-def forward(arcs: list[list[np.ndarray]], p: np.ndarray) -> np.ndarray:
-    """(length + 1, word, language) sums over all segmentations of the prefixes.
-    p: (size + 2, language), the last row zero."""
+def forward(arcs: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+    """(length + 1, word, language) logs of the sums over all segmentations of the
+    prefixes.  p: (size + 2, language), the last row zero."""
     n = len(arcs) - 1
-    alpha = np.zeros((n + 1, len(arcs[1][0]), p.shape[1]))
-    alpha[0] = 1
+    shape = (arcs[0].shape[1], p.shape[1])
+    out = np.zeros((n + 1, *shape))
+    before = np.ones((1, *shape))  # sums of the prefixes before, over that of the last one
     for e in range(1, n + 1):
-        for l, piece in enumerate(arcs[e], 1):
-            alpha[e] += alpha[e - l] * p[piece]
-    return alpha
+        grown = (before * p[arcs[e]]).sum(axis=0)
+        out[e] = out[e - 1] + np.log(grown)
+        before = np.concatenate([np.ones((1, *shape)), before / grown])[: len(arcs[min(e + 1, n)])]
+    return out
 
 
 def expected_counts(pc_: Pieces, words: list[str], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -160,16 +155,19 @@ def expected_counts(pc_: Pieces, words: list[str], weight: np.ndarray, p: np.nda
     for where, codes in by_length(words):
         arcs = pc_.arcs(codes)
         n = len(arcs) - 1
-        alpha = forward(arcs, p)
-        beta = np.zeros_like(alpha)
-        beta[n] = weight[where] / alpha[n]
+        log = forward(arcs, p)
+        # how often a segmentation has a boundary at each place; a piece that ends there
+        # has the share of the sum that ends in it
+        ends = np.zeros_like(log)
+        ends[n] = weight[where]
         for e in range(n, 0, -1):
-            for l, piece in enumerate(arcs[e], 1):
-                flow = p[piece] * beta[e]
-                beta[e - l] += flow
-                got = alpha[e - l] * flow
-                for k in range(p.shape[1]):
-                    total[:, k] += np.bincount(piece, got[:, k], minlength=len(p))
+            m = len(arcs[e])
+            back = e - 1 - np.arange(m)
+            got = ends[e] * np.exp(log[back] - log[e]) * p[arcs[e]]
+            ends[back] += got
+            hit = arcs[e] <= pc_.size
+            for k in range(p.shape[1]):
+                total[:, k] += np.bincount(arcs[e][hit], got[..., k][hit], minlength=len(p))
     return total
 
 
@@ -188,13 +186,13 @@ def train(langs: list[str], raw: pa.Array, of: np.ndarray, path: str, rounds: in
     lang = np.repeat(of, np.diff(rows))
     weight = np.zeros((len(words), len(langs)))
     np.add.at(weight, (code, lang), 1)
-    parts, owner = runs(words.to_pylist())
+    parts = marked(words.to_pylist())
     p = np.zeros((vocabulary.size + 2, len(langs)))
     # start: pieces as likely as characters of English-like entropy would make them
     p[: vocabulary.size] = np.exp(-1.5 * vocabulary.length)[:, None]
     p = probabilities(p)
     for _ in range(rounds if parts else 0):
-        p = probabilities(expected_counts(vocabulary, parts, weight[owner], p) + 1e-3)
+        p = probabilities(expected_counts(vocabulary, parts, weight, p) + 1e-3)
     return {"langs": langs, "p": p, "path": path}
 
 
@@ -227,16 +225,14 @@ class Scorer:
         self.value = np.zeros((1 << 14, len(model["langs"])))
 
     def learn(self, words: list[str]) -> None:
-        parts, of = runs(words)
         vocabulary, p = pieces(self.model["path"]), self.model["p"]
-        got = np.empty((len(parts), len(self.model["langs"])))
-        for where, codes in by_length(parts):
-            got[where] = np.log(np.maximum(forward(vocabulary.arcs(codes), p)[-1], 1e-300))
+        got = np.empty((len(words), len(self.model["langs"])))
+        for where, codes in by_length(marked(words)):
+            got[where] = forward(vocabulary.arcs(codes), p)[-1]
         base = len(self.place)
         while base + len(words) > len(self.value):
             self.value = np.concatenate([self.value, np.zeros_like(self.value)])
-        self.value[base : base + len(words)] = 0
-        np.add.at(self.value, base + of, got)
+        self.value[base : base + len(words)] = got
         self.place.update(zip(words, range(base, base + len(words)), strict=True))
 
     def texts(self, raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -163,23 +163,42 @@ def test_language_held_out(spark, sf):
     assert (got.lang_pred == got.lang).mean() > 0.98
 
 
-def test_forward_sums_all_segmentations():
+@pytest.mark.parametrize("word", ["▁these", "▁organisation", "▁q" + "the" * 12])
+def test_forward_sums_all_segmentations(word):
+    """Log-likelihoods, expected counts and held pieces against plain dictionaries."""
+    import sentencepiece
+
     vocabulary = langid.pieces(langid.vocabulary_path())
+    model = sentencepiece.SentencePieceProcessor(model_file=langid.vocabulary_path())
+    held = {model.id_to_piece(i) for i in range(model.get_piece_size())}
     p = np.random.default_rng(0).random((vocabulary.size + 2, 2))
     p[-1] = 0
-    word = "▁these"
-    codes = np.array([[ord(c) for c in word]], np.uint32)
-    arcs = vocabulary.arcs(codes)
-    known = {}
-    for e in range(1, len(word) + 1):
-        for l, piece in enumerate(arcs[e], 1):
-            known[word[e - l : e]] = p[piece[0]]
-
-    def total(rest):
-        return np.ones(2) if not rest else sum(known[rest[:l]] * total(rest[l:]) for l in range(1, min(len(rest), langid.PIECE) + 1))
-
-    assert langid.forward(arcs, p)[-1][0] == pytest.approx(total(word))
-    assert (arcs[2][0] < vocabulary.size).all()
+    arcs = vocabulary.arcs(np.array([[ord(c) for c in word]], np.uint32))
+    n, known = len(word), {}
+    for e in range(1, n + 1):
+        for l, piece in enumerate(arcs[e][:, 0], 1):
+            span = word[e - l : e]
+            assert (piece < vocabulary.size) == (span in held and span != "▁")
+            known[e - l, e] = p[piece], piece
+    assert max(e - s for (s, e), (_, piece) in known.items() if piece < vocabulary.size) >= 3
+    ahead, behind = [np.zeros(2) for _ in range(n + 1)], [np.zeros(2) for _ in range(n + 1)]
+    ahead[0], behind[n] = np.ones(2), np.ones(2)
+    for e in range(1, n + 1):
+        ahead[e] = sum(ahead[s] * q for (s, x), (q, _) in known.items() if x == e)
+    for s in range(n - 1, -1, -1):
+        behind[s] = sum(behind[e] * q for (x, e), (q, _) in known.items() if x == s)
+    assert langid.forward(arcs, p)[-1][0] == pytest.approx(np.log(ahead[n]))
+    want = np.zeros_like(p)
+    for (s, e), (q, piece) in known.items():
+        want[piece] += 3 * ahead[s] * q * behind[e] / ahead[n]
+    assert langid.expected_counts(vocabulary, [word], np.full((1, 2), 3.0), p) == pytest.approx(want)
+
+
+def test_forward_of_a_very_long_word():
+    vocabulary = langid.pieces(langid.vocabulary_path())
+    p = langid.probabilities(np.random.default_rng(0).random((vocabulary.size + 2, 2)))
+    got = langid.forward(vocabulary.arcs(np.array([[ord(c) for c in "▁" + "these" * 4000]], np.uint32)), p)[-1]
+    assert np.isfinite(got).all() and (got < -1000).all()
 
 
 def brute_smith_waterman(a, b):
