@@ -6,13 +6,14 @@ reciprocal rank fusion k = 60.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+BUCKETS = 256
 
 
 def postings(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
@@ -60,6 +61,28 @@ def bm25_indexed(index: DataFrame, sizes: DataFrame, terms: list[str], key: str
     return scored.groupBy(key).agg(F.sum(_weight(F.col("tf").cast("double"), F.col("df"), F.col("n"), F.col("len"), F.col("avg_len"))).alias("score"))
 
 
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, out: str, key: str = "doc_id", body: str = "text") -> None:
+    """Stores the index under `out`: postings in a folder a bucket of terms, sorted by
+    term within files, and lengths.  What was there goes.  Adaptive execution splits
+    the bucket of a frequent term over several files."""
+    index = postings(docs, key, body).withColumn("bucket", _bucket(F.col("term")))
+    index.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/postings")
+    lengths(docs, key, body).write.mode("overwrite").parquet(f"{out}/lengths")
+
+
+def bm25_stored(spark: SparkSession, out: str, terms: list[str], key: str = "doc_id") -> DataFrame:
+    """bm25() from a stored index: no text is read, and only the folders of the query's
+    terms, within them the row groups that can hold a term."""
+    terms = list(dict.fromkeys(t.lower() for t in terms))
+    wanted = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).collect()}) if terms else []
+    index = spark.read.parquet(f"{out}/postings").filter(F.col("bucket").isin(*wanted)).drop("bucket")
+    return bm25_indexed(index, spark.read.parquet(f"{out}/lengths"), terms, key)
+
+
 def cosine(vectors: DataFrame, query: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, score) against a one-row query(q), exact and in double precision."""
     one = F.broadcast(query.limit(1))

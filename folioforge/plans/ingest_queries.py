@@ -99,6 +99,16 @@ def mirror_changes(spark, sf_dir):
     return sinks.mirror_changes(docs.filter("lang <> 'es'").drop("lang"), target.drop("lang"))
 
 
+def adapter_drift(spark, sf_dir):
+    """Adapters of two targets as they were generated, against what is canonical now."""
+    now = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"), F.col("n_regionkey").alias("tier"))
+    old = now.filter("tier <> 4").withColumn("tier", F.when(F.col("tier") == 1, 0).otherwise(F.col("tier")))
+    prompt = F.concat(F.lit("prompts/"), "name", F.lit(".md")), F.concat(F.lit("# "), "name", F.lit("\n\ntier "), F.col("tier").cast("string"))
+    tool = F.when(F.col("tier") < 3, F.concat(F.lit("tools/"), "name", F.lit(".json"))), F.to_json(F.struct("name", "tier"))
+    targets = {"prompts": prompt, "tools": tool}
+    return integrity.drift(sinks.adapters(old, targets), sinks.adapters(now, targets), "path", "hash")
+
+
 def pin_status(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     wanted = nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("pin"))
@@ -123,7 +133,7 @@ def index_status(spark, sf_dir):
 
 
 def index_update(spark, sf_dir):
-    docs = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
+    docs = table(spark, sf_dir, "documents")
     old = docs.filter("not contains(text, ' with ')").withColumn("text", F.when(F.contains("text", F.lit(" that ")), F.lit("stale words")).otherwise(F.col("text")))
     now = docs.filter("not contains(text, ' from ')")
     state = ingest.hashed(old).select("doc_id", "source_hash")
@@ -175,7 +185,7 @@ def ingest_run(spark, sf_dir):
     return run["books"].select("slug", "source_hash").join(n, "slug", "left").join(steps, "slug").select("slug", "source_hash", F.coalesce("n_sections", F.lit(0)).alias("n_sections"), "steps")
 
 
-QUERIES = {f.__name__: f for f in (ingest_run, hash_dedupe, ingest_skip_unchanged, tag_override, classify_and_tag, next_steps, section_plan, section_blocks, section_spans, book_overview, validate_sections, link_edges, link_resolution, drift_report, drift_rows, mirror_changes, pin_status, cleanup_inventory, write_boundary, index_status, index_update, embed_pending, doctor_report, claims_unsupported, canvas_boards, events_tumbling, yaml_header_parse)}
+QUERIES = {f.__name__: f for f in (ingest_run, hash_dedupe, ingest_skip_unchanged, tag_override, classify_and_tag, next_steps, section_plan, section_blocks, section_spans, book_overview, validate_sections, link_edges, link_resolution, drift_report, drift_rows, mirror_changes, adapter_drift, pin_status, cleanup_inventory, write_boundary, index_status, index_update, embed_pending, doctor_report, claims_unsupported, canvas_boards, events_tumbling, yaml_header_parse)}
 
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
@@ -219,16 +229,22 @@ FROM pages LEFT JOIN (SELECT page_id, count(*) AS n FROM plan GROUP BY 1) USING
     "link_resolution": r"""WITH e AS (SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, '<a href="/?([^"]*)"', 1)) AS target FROM pages),
 t AS (SELECT trim(regexp_replace(lower(regexp_extract(html, '<title>([^<., ]*)', 1)), '[\x20\x09-\x0D]+', ' ', 'g')) AS s, min(url) AS dst FROM pages GROUP BY 1)
 SELECT src, target, dst FROM e LEFT JOIN t ON trim(regexp_replace(lower(target), '[\x20\x09-\x0D]+', ' ', 'g')) = t.s""",
-    "drift_report": "SELECT doc_id, CASE lang WHEN 'fr' THEN 'extra' WHEN 'es' THEN 'missing' ELSE 'changed' END AS state FROM documents WHERE lang IN ('fr', 'es', 'de')",
+    "drift_report": """WITH c AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE lang <> 'fr'), g AS (SELECT doc_id, sha256(CASE WHEN lang = 'de' THEN text || ' ' ELSE text END) AS h FROM documents WHERE lang <> 'es')
+SELECT doc_id, CASE WHEN g.doc_id IS NULL THEN 'missing' WHEN c.doc_id IS NULL THEN 'extra' ELSE 'changed' END AS state FROM g FULL JOIN c USING (doc_id) WHERE g.h IS DISTINCT FROM c.h""",
     "drift_rows": """WITH a AS (SELECT lang, source FROM documents WHERE lang <> 'fr'), b AS (SELECT lang, source FROM documents WHERE source <> 'src3')
 SELECT lang, source, side, count(*) AS n FROM (SELECT *, 'generated' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'canonical' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY ALL""",
-    "mirror_changes": "SELECT CAST(doc_id AS VARCHAR) AS path, CASE lang WHEN 'fr' THEN 'add' WHEN 'es' THEN 'remove' ELSE 'replace' END AS change FROM documents WHERE lang IN ('fr', 'es', 'de')",
+    "mirror_changes": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, lang, sha256(text) AS h FROM documents), s AS (SELECT path, h FROM d WHERE lang <> 'es'), t AS (SELECT path, CASE WHEN lang = 'de' THEN 'old' ELSE h END AS h FROM d WHERE lang <> 'fr')
+SELECT path, CASE WHEN t.path IS NULL THEN 'add' WHEN s.path IS NULL THEN 'remove' ELSE 'replace' END AS change FROM s FULL JOIN t USING (path) WHERE s.h IS DISTINCT FROM t.h""",
+    "adapter_drift": r"""WITH now AS (SELECT lower(n_name) AS name, n_regionkey AS tier FROM nation), old AS (SELECT name, CASE WHEN tier = 1 THEN 0 ELSE tier END AS tier FROM now WHERE tier <> 4),
+c AS (SELECT 'prompts/' || name || '.md' AS path, tier FROM now UNION ALL SELECT 'tools/' || name || '.json', tier FROM now WHERE tier < 3),
+g AS (SELECT 'prompts/' || name || '.md' AS path, tier FROM old UNION ALL SELECT 'tools/' || name || '.json', tier FROM old WHERE tier < 3)
+SELECT path, CASE WHEN g.path IS NULL THEN 'missing' WHEN c.path IS NULL THEN 'extra' ELSE 'changed' END AS state FROM g FULL JOIN c USING (path) WHERE g.tier IS DISTINCT FROM c.tier""",
     "pin_status": """SELECT n.n_name AS name, CAST(n.n_regionkey AS VARCHAR) AS wanted, a.pin AS actual, CASE WHEN a.pin IS NULL THEN 'absent' WHEN a.pin = CAST(n.n_regionkey AS VARCHAR) THEN 'current' ELSE 'behind' END AS state
 FROM nation n LEFT JOIN (SELECT n_name, CASE WHEN n_regionkey = 3 THEN '0' ELSE CAST(n_regionkey AS VARCHAR) END AS pin FROM nation WHERE n_regionkey <> 4) a USING (n_name)""",
     "cleanup_inventory": "SELECT source AS scope, count(*) AS n, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents WHERE source <> 'src7' GROUP BY 1",
     "write_boundary": "SELECT doc_id, CASE WHEN lang = 'es' THEN 'outside' ELSE 'read-only' END AS why FROM documents WHERE lang IN ('fr', 'de', 'es')",
     "index_status": "SELECT 'documents' AS collection, count(*) AS n, max(doc_id) AS latest FROM documents UNION ALL SELECT 'benchmark', count(*), max(item_id) FROM benchmark",
-    "index_update": r"""SELECT doc_id, term, count(*) AS tf FROM (SELECT item_id AS doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE NOT contains(text, ' from ')) GROUP BY 1, 2""",
+    "index_update": r"""SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents WHERE NOT contains(text, ' from ')) GROUP BY 1, 2""",
     "embed_pending": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "doctor_report": """SELECT 'text' AS name, count(*) FILTER (text IS NULL) = 0 AS ok, count(*) FILTER (text IS NULL) AS n FROM documents
 UNION ALL SELECT 'length', count(*) FILTER (length(text) <> n_chars) = 0, count(*) FILTER (length(text) <> n_chars) FROM documents

@@ -30,8 +30,8 @@ def bm25_from_index(spark, sf_dir):
 
 
 def index_postings(spark, sf_dir):
-    index = search.postings(table(spark, sf_dir, "benchmark"), "item_id")
-    return index.join(index.groupBy("term").agg(F.count("*").alias("df")), "term").select("item_id", "term", "tf", "df")
+    index = search.postings(table(spark, sf_dir, "documents"))
+    return index.join(index.groupBy("term").agg(F.count("*").alias("df")), "term").select("doc_id", "term", "tf", "df")
 
 
 def _query_vector(spark, sf_dir):
@@ -97,8 +97,8 @@ ORACLE_SQL = {
     "bm25_scores": f"WITH {_BM25} SELECT doc_id, score FROM bm",
     "bm25_from_index": f"WITH {_BM25} SELECT doc_id, score FROM bm",
     "bm25_topk": f"WITH {_BM25}, top AS (SELECT * FROM bm ORDER BY score DESC NULLS LAST, doc_id LIMIT 10) SELECT top.doc_id, top.score, d.source, l.quality, d.lang FROM top JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id)",
-    "index_postings": r"""WITH p AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY 1, 2)
-SELECT item_id, term, tf, count(*) OVER (PARTITION BY term) AS df FROM p""",
+    "index_postings": r"""WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2)
+SELECT doc_id, term, tf, count(*) OVER (PARTITION BY term) AS df FROM p""",
     "cosine_scores": f"WITH {_COS} SELECT vec_id, score FROM cs",
     "cosine_topk": f"WITH {_COS} SELECT vec_id, score FROM cs ORDER BY score DESC NULLS LAST, vec_id LIMIT 10",
     "hybrid_rrf_topk": f"""WITH {_BM25}, {_COS},

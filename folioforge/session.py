@@ -8,9 +8,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings that the queries assume: UTC and adaptive
-    execution.  On a cluster the master comes from spark-submit."""
+    """A session with the settings that the queries assume: UTC, adaptive execution
+    and the state of streams outside the heap.  On a cluster the master comes from
+    spark-submit."""
     builder = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

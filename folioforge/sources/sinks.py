@@ -111,3 +111,17 @@ def mirror_changes(source: DataFrame, target: DataFrame) -> DataFrame:
     s, t = source.select("path", F.col("hash").alias("new")), target.select("path", F.col("hash").alias("old"))
     change = F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "remove").when(F.col("old") != F.col("new"), "replace")
     return s.join(t, "path", "full").select("path", change.alias("change")).filter("change is not null")
+
+
+def adapters(canonical: DataFrame, targets: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(target, path, content, hash): the files that each target is to hold, given as
+    name -> (path, content) over a canonical row, and nothing but the canonical rows.
+    A null path: the target has no file of the row."""
+    files = F.array(*[F.struct(F.lit(t).alias("target"), path.alias("path"), content.alias("content")) for t, (path, content) in targets.items()])
+    return canonical.select(F.explode(files).alias("f")).select("f.*").filter("path is not null").withColumn("hash", text.content_hash(F.col("content")))
+
+
+def sync(wanted: DataFrame, out: str) -> None:
+    """Writes adapters(), a folder a target, in place of all that was there: edits by
+    hand and files of rows that are gone do not outlive it, and twice is as once."""
+    wanted.repartition("target", "path").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("target").parquet(out)

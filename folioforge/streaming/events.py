@@ -34,16 +34,12 @@ def read(spark: SparkSession, folder: str, schema, files_a_batch: int = 16) -> D
 
 
 def ingest_stream(docs: DataFrame, out: str, checkpoint: str):
-    """Appends documents whose hash the store does not have yet, a batch at a time;
-    a batch that runs again writes nothing twice."""
+    """Appends documents whose hash has not come before, each batch once.  The hashes
+    seen are keyed state of the query, so a batch costs what it holds, not what the
+    store holds; they live in the checkpoint, with which a store belongs together.
+    Of equal texts any one row stays; null texts count as equal."""
     from folioforge.operators import ingest
 
-    def each(batch: DataFrame, number: int) -> None:
-        spark, new = batch.sparkSession, ingest.hashed(batch).dropDuplicates(["source_hash"])
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            seen = spark.read.parquet(out).filter(F.col("batch") != number)
-            new = new.join(seen.select("source_hash"), "source_hash", "left_anti")
-        new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
-
-    return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = ingest.hashed(docs).dropDuplicates(["source_hash"])
+    options = {"path": out, "checkpointLocation": checkpoint}
+    return new.writeStream.format("parquet").outputMode("append").options(**options).trigger(availableNow=True).start()

@@ -249,3 +249,39 @@ def test_ingest_as_a_whole(spark):
     assert [r["command"] for r in full["next_steps"].filter("slug = 'a'").orderBy("step").collect()] == ["index-update", "index-embed"]
     with pytest.raises(ValueError, match="mode"):
         ingest.ingest(docs, seen, plan, "some")
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the fox, the den"), (2, "a fox"), (3, ""), (4, None), (5, "licensed den")], "doc_id long, text string")
+    for _ in range(2):
+        search.write_index(docs, str(tmp_path / "index"))
+    for terms in (["fox", "The"], ["den"], ["absent"], []):
+        got = search.bm25_stored(spark, str(tmp_path / "index"), terms)
+        want = {r["doc_id"]: round(r["score"], 9) for r in search.bm25(docs, terms).collect()} if terms else {}
+        assert {r["doc_id"]: round(r["score"], 9) for r in got.collect()} == want
+    scan = search.bm25_stored(spark, str(tmp_path / "index"), ["fox"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in scan and "EqualTo(term,fox)" in scan
+
+
+def test_adapters_regenerate(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "one"), ("b", None), ("c", "x")], "name string, body string")
+    targets = {"left": (F.concat(F.lit("l/"), "name"), F.col("body")), "right": (F.when(F.col("name") != "c", F.concat(F.lit("r/"), "name")), F.upper("body"))}
+    wanted = sinks.adapters(rows, targets)
+    assert sorted((r["target"], r["path"], r["content"]) for r in wanted.collect()) == [("left", "l/a", "one"), ("left", "l/b", None), ("left", "l/c", "x"), ("right", "r/a", "ONE"), ("right", "r/b", None)]
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        sinks.sync(wanted, out)
+        assert integrity.drift(spark.read.parquet(out), wanted, "path", "hash").count() == 0
+    fewer = sinks.adapters(rows.filter("name = 'a'"), {"left": targets["left"]})
+    sinks.sync(fewer, out)
+    assert [r["path"] for r in spark.read.parquet(out).collect()] == ["l/a"]
+
+
+def test_stream_remembers_hashes(spark, tmp_path):
+    from folioforge.streaming import events as stream
+
+    schema = "doc_id long, text string"
+    for rows in ([(1, "a"), (2, None)], [(3, "a"), (4, "b"), (5, None)], [(6, "b")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.ingest_stream(stream.read(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert sorted((r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())) == [1, 2, 4]
