@@ -13,20 +13,17 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index reachable from each of n nodes by the edges a-b."""
     root = np.arange(n)
     while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        root = root[root]
-        if (root == before).all():
-            break
+        # only roots are hooked, so what is joined stays joined
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            further = root[root]
+            if (further == root).all():
+                break
+            root = further
         open_ = root[a] != root[b]
         a, b = a[open_], b[open_]
-    while True:
-        further = root[root]
-        if (further == root).all():
-            return root
-        root = further
+    return root
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -15,10 +15,12 @@ of the first n - ceil(t n) + 1 shingles.
 3. Pairs of classes are filtered by their whole prefixes (too many shingles apart
    already), then verified on the whole sets; links join components.
 4. Runs that step 2 could not pair wholly (longer than NEAR, or holding groups of
-   several classes) are met again class by class, now only across components;
-   pairs are filtered and verified as before.  Runs within one component are left
-   out; those of over RUN rows are cut into cells.  So no link that joins two components
-   is lost, and a large group of near-copies costs a few pairs a class, not all.
+   several classes) are met again class by class, now only across components.  Runs
+   within one component are left out; those of over RUN rows are cut into cells.  Rows
+   bring their whole sets, and the links are found where the run is (see runs): what
+   leaves it is at most a few links a class, never pairs to look at.  Sets of over LONG
+   shingles would weigh too much beside each row; pairs with one are listed, filtered
+   and verified as before.  So no link that joins two components is lost.
 
 Sets are never gathered by shingle: only classes in pairs that passed the prefix
 filter have theirs built again from their text, found by a Bloom filter of fixed
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import repeats as R
+from . import runs
 from .components import components
 
 COMMON = 1_000
@@ -50,6 +53,8 @@ BLOOM_BITS = 26
 LIMIT = 2 << 20
 WORK = 500_000
 RUN = 20_000  # rows of a side of a run
+MEAN = 100  # shingles a row that RUN is meant for; a side of larger sets has fewer rows
+LONG = 4_096
 _TOP = 1 << 62
 _SOME = 1 << 61
 
@@ -320,7 +325,7 @@ def in_cells(postings: DataFrame, run: int | None = None) -> DataFrame:
     many, and each two sides meet in a cell, so any two rows still meet, in one cell
     at least; shorter runs are one cell."""
     postings = C.stored(postings, "postings")
-    tokens = postings.groupBy("token").agg(F.count("*").alias("_m"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    tokens = postings.groupBy("token").agg(F.greatest(F.count("*"), F.sum(F.least("n", F.lit(LONG))) / MEAN).alias("_m"), F.min("root").alias("_low"), F.max("root").alias("_high"))
     sides = tokens.filter("_low <> _high").select("token", F.ceil(F.col("_m") / (run or RUN)).cast("long").alias("_sides"))
     rows = postings.join(sides, "token").withColumn("side", F.pmod(F.xxhash64("c"), F.col("_sides")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_sides") - 1)))
@@ -330,8 +335,29 @@ def in_cells(postings: DataFrame, run: int | None = None) -> DataFrame:
     return out
 
 
-def across_runs(cells: DataFrame, rule: Rule) -> DataFrame:
-    """Step 4 over in_cells(): pairs of classes of unlike root."""
+def links_of_runs(cells: DataFrame, rule: Rule) -> DataFrame:
+    """Step 4 over in_cells() with members: links (a, b) that connect the classes which
+    the links of the runs connect, found where the run is."""
+
+    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, cell, n, c, root, side = (rows[x].to_numpy() for x in ("token", "cell", "n", "c", "root", "side"))
+        members = np.asarray(pa.compute.list_flatten(rows["members"].combine_chunks()), np.int64)
+        at = np.concatenate([[0], np.cumsum(n)])
+        start = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]))
+        end = np.append(start[1:], len(token))
+        two = np.minimum.reduceat(side, start) != np.maximum.reduceat(side, start)
+        open_ = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+        for s, e, halves in zip(start[open_].tolist(), end[open_].tolist(), two[open_].tolist(), strict=True):
+            link = runs.Run(rule, n[s:e], root[s:e], members[at[s] : at[e]], side[s:e] if halves else None).links()
+            if len(link):
+                yield pa.record_batch({"a": c[s:e][link].min(axis=1), "b": c[s:e][link].max(axis=1)})
+
+    return by_token(cells, settle, ["token", "cell"], "a long, b long", ("token", "cell"))
+
+
+def across_runs(cells: DataFrame, rule: Rule, over: int = 0) -> DataFrame:
+    """Step 4 over in_cells(): pairs of classes of unlike root, the larger of over
+    `over` shingles."""
 
     def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         token, cell, n, pos, c, root, side = (rows[x].to_numpy() for x in ("token", "cell", "n", "pos", "c", "root", "side"))
@@ -350,7 +376,7 @@ def across_runs(cells: DataFrame, rule: Rule) -> DataFrame:
                 # sizes ascend: only as far as the size filter reaches
                 to = s + int(np.searchsorted(n[s:e], n[i] * rule.den // rule.num, side="right"))
                 j = np.arange(i + 1, to)
-                j = j[root[j] != root[i]]
+                j = j[(root[j] != root[i]) & (n[j] > over)]
                 if halves:  # rows of one side meet in a cell of their own
                     j = j[side[j] != side[i]]
                 j = j[pos[i] + pos[j] <= rule.apart(n[j], n[i])]
@@ -368,7 +394,8 @@ def across_runs(cells: DataFrame, rule: Rule) -> DataFrame:
 
 def by_token(postings: DataFrame, settle, order: list[str], schema: str, key: tuple[str, ...] = ("token",), overlap: int = 0) -> DataFrame:
     """Runs `settle` over tables of complete runs of equal token, or of another key
-    that `order` begins with, some 50,000 rows each.  With an overlap, longer runs come
+    that `order` begins with, some 50,000 rows or
+    16 MB each.  With an overlap, longer runs come
     in parts, the last `overlap` rows of one again in the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +411,7 @@ def by_token(postings: DataFrame, settle, order: list[str], schema: str, key: tu
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size < 50_000:
+            if size < 50_000 and sum(b.nbytes for b in held) < 8 * LIMIT:
                 continue
             rows = pa.Table.from_batches(held)
             last = np.ones(len(rows), bool)
@@ -440,10 +467,16 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFram
     crowded = rooted.groupBy("g").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("m > 2 and low <> high").select("g")
     inner = rooted.join(crowded, "g", "left_semi").select("c", "n", "root", F.lit(0).alias("pos"), F.col("g").alias("token"))
     cells = in_cells(tokens.unionByName(inner).withColumn("pos", F.col("pos").cast("long")))
-    again = C.stored(across_runs(cells, rule), "again")
-    C.forget(met, cells)
-    more = linked(again)
-    C.forget(again, classes, rooted)
+    short = cells.filter(F.col("n") <= LONG)
+    sets = whole_sets(docs, classes, rule, short.select("c").distinct())
+    more = C.stored(links_of_runs(short.drop("n", "pos").join(sets, "c"), rule).distinct(), "more")
+    C.forget(met, sets)
+    if not cells.filter(F.col("n") > LONG).isEmpty():
+        again = C.stored(across_runs(cells.filter(F.col("n") * rule.den >= F.lit(LONG * rule.num)), rule, LONG), "again")
+        some, long = more, linked(again)
+        more = C.stored(some.unionByName(long), "more")
+        C.forget(again, some, long)
+    C.forget(cells, classes, rooted)
     if not more.isEmpty():
         old, roots = roots, components(links.unionByName(more))
         C.forget(old)

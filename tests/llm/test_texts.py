@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm import packing, repeats, shingles, substrings, suffixes, tokens
+from folioforge.llm import components, packing, repeats, runs, shingles, substrings, suffixes, tokens
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -291,6 +291,97 @@ def test_similar_clusters(spark, near, run, monkeypatch):
     assert key(tuple(r) for r in got) == key(brute_similar(rows, 4, 85, 100))
 
 
+def near_copies(rng, groups, most, edits):
+    """Distinct sets around a base for each group, and all links at 0.85."""
+    sets = {}
+    for _ in range(groups):
+        base = rng.choice(1_000, int(rng.integers(20, 120)), replace=False).tolist()
+        for _ in range(int(rng.integers(1, most))):
+            own = set(base) - set(rng.choice(base, int(rng.integers(0, edits)), replace=False).tolist())
+            sets[tuple(sorted(own | set(rng.integers(0, 9_000, int(rng.integers(0, edits))).tolist()) or {1}))] = None
+    sets = list(sets)
+    link = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * (both := len(set(sets[i]) & set(sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - both)}
+    return sets, link
+
+
+def classes_by(links, root):
+    """Which rows are one component, by links and equal roots."""
+    at = {v: v for v in range(len(root))}
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for i, j in [*links, *((i, root.index(r)) for i, r in enumerate(root))]:
+        at[find(i)] = find(j)
+    lead = [find(x) for x in range(len(root))]
+    return [lead.index(x) for x in lead]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_links_of_a_run(seed, monkeypatch):
+    """All links that join components, none that is not one, and few of them."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(runs, "SMALL", [0, 10, 200][seed % 3])
+    monkeypatch.setattr(runs, "REFERENCES", [1, 3, 16][seed // 3 % 3])
+    monkeypatch.setattr(runs, "WORK", [1, 60, 500_000][seed // 9 % 3])
+    sets, link = near_copies(rng, int(rng.integers(1, 5)), 25, 9)
+    root = rng.integers(0, len(sets), len(sets)).tolist()
+    n = np.array([len(s) for s in sets])
+    got = [tuple(sorted(p)) for p in runs.Run(shingles.Rule(4, 85, 100), n, np.array(root), np.concatenate([np.array(s) for s in sets])).links().tolist()]
+    assert set(got) <= link and classes_by(got, root) == classes_by(link, root)
+
+
+def test_near_copies_leave_their_run_as_few_rows(spark):
+    """600 near-copies, most pairs of them too far apart: what comes out does not grow
+    with the pairs."""
+    rng = np.random.default_rng(3)
+    base, sets = list(range(147)), []
+    for i in range(600):
+        own = set(base)
+        for at in rng.integers(0, 143, int(rng.integers(2, 6))):
+            own = own - set(range(at, at + 4)) | {10_000 + 50 * i + int(at) % 50 + x for x in range(4)}
+        sets.append(sorted(own))
+    link = {(i, j) for j in range(600) for i in range(j) if 100 * (both := len(set(sets[i]) & set(sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - both)}
+    rows = spark.createDataFrame([(1, len(s), i, i, 0, 0, s) for i, s in enumerate(sets)], "token long, n long, c long, root long, side long, cell long, members array<long>")
+    got = [tuple(r) for r in shingles.links_of_runs(rows, shingles.Rule(4, 85, 100)).collect()]
+    assert set(got) <= link and 0 < len(got) < 1_200
+    assert classes_by(got, list(range(600))) == classes_by(link, list(range(600)))
+
+
+def test_similar_long_sets(spark, monkeypatch):
+    """Sets of over LONG shingles are paired beside the shorter ones of a run."""
+    monkeypatch.setattr(shingles, "NEAR", 1)
+    monkeypatch.setattr(shingles, "LONG", 95)
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(3):
+        base = [f"v{i}" for i in rng.integers(0, 900, 90)]
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                copy[int(rng.integers(0, len(copy)))] = f"e{rng.integers(0, 9)}"
+            copy += [f"t{i}" for i in range(int(rng.integers(0, 16)))]
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shingles.similar(df, 4, 85, 100).select("doc_id", "n_shingles", "component_id").collect()
+    assert key(tuple(r) for r in got) == key(brute_similar(rows, 4, 85, 100))
+
+
+def test_local_roots_keep_what_is_joined():
+    """Random graphs, against labels spread edge by edge."""
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        n = int(rng.integers(2, 60))
+        a, b = rng.integers(0, n, (2, int(rng.integers(1, 70))))
+        low = np.arange(n)
+        for _ in range(n):
+            np.minimum.at(low, a, low[b])
+            np.minimum.at(low, b, low[a])
+        assert components.local_roots(a, b, n).tolist() == low.tolist()
+
+
 def test_long_runs_meet_in_cells(spark):
     """Every two rows of a run meet, runs within one root are left out."""
     rows = spark.range(300).select((F.col("id") % 3).alias("token"), F.lit(90).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"), F.col("id").alias("c"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("long").alias("root"))
