@@ -372,9 +372,9 @@ def test_similar_long_sets(spark, monkeypatch):
 def test_local_roots_keep_what_is_joined():
     """Random graphs, against labels spread edge by edge."""
     rng = np.random.default_rng(0)
-    for _ in range(300):
-        n = int(rng.integers(2, 60))
-        a, b = rng.integers(0, n, (2, int(rng.integers(1, 70))))
+    graphs = [(13, np.array([9, 8, 5, 5, 7, 7, 5, 5, 12, 12, 4, 3, 4]), np.array([8, 12, 10, 6, 12, 6, 3, 9, 6, 1, 12, 2, 0]))]  # a join was lost here
+    graphs += [(n, *rng.integers(0, n, (2, int(rng.integers(1, 70))))) for n in rng.integers(2, 60, 300).tolist()]
+    for n, a, b in graphs:
         low = np.arange(n)
         for _ in range(n):
             np.minimum.at(low, a, low[b])
